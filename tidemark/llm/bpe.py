@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 12 << 20
 CACHE_PIECES = 600_000
@@ -260,7 +261,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: s
     """
     held = df.sparkSession.sparkContext.broadcast(ranks)
     own = df.drop(ids)
-    schema = own.schema.add(ids, "array<int>")
+    schema = T.StructType(list(own.schema.fields)).add(ids, "array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = kernel(held.value, pattern)
@@ -283,7 +284,7 @@ def decode(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", to: str
             out = [None if x is None else coder.decode(x) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, to])
 
-    return own.mapInArrow(run, own.schema.add(to, "binary"))
+    return own.mapInArrow(run, T.StructType(list(own.schema.fields)).add(to, "binary"))
 
 
 def round_trip(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
