@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import analytics, kernels
 from tidemark.plans.indicators import PLANS
 from tidemark.sources.bars import DAILY_SQL, HOURLY_SQL, SPARSE_SQL, daily_bars, hourly_bars, sparse_bars
 
@@ -25,8 +26,9 @@ def _bars() -> tuple[dict[str, Query], dict[str, str]]:
 
 
 def queries() -> dict[str, Query]:
-    return _bars()[0] | {name: _planned(name) for name in PLANS}
+    asked = {name: lambda spark, sf_dir, name=name: analytics.run(spark, sf_dir, name) for name in analytics.SQL}
+    return _bars()[0] | {name: _planned(name) for name in PLANS} | asked | kernels.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _bars()[1] | {name: plan.sql(DAILY_SQL) for name, plan in PLANS.items()}
+    return _bars()[1] | {name: plan.sql(DAILY_SQL) for name, plan in PLANS.items()} | analytics.ORACLE | kernels.ORACLE
