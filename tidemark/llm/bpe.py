@@ -261,7 +261,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: s
     """
     held = df.sparkSession.sparkContext.broadcast(ranks)
     own = df.drop(ids)
-    schema = T.StructType(list(own.schema.fields)).add(ids, "array<int>")
+    schema = T.StructType(list(own.schema.fields)).add(ids, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = kernel(held.value, pattern)

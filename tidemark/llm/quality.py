@@ -108,6 +108,9 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The input's rows, all columns, that ``judge`` keeps."""
+    text, doc_id = options.pop("text", "text"), options.pop("doc_id", "doc_id")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # so that no column of the input meets one of the measures
+    out = judge(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row.alias("_document")), labels, **options)
     # a row number in the condition: else the optimizer moves the condition below the measures and writes them out again at each use
-    out = judge(docs, labels, **options).withColumn("_row", F.monotonically_increasing_id())
-    return out.where(F.col("kept") & (F.col("_row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = out.withColumn("_row", F.monotonically_increasing_id())
+    return out.where(F.col("kept") & (F.col("_row") >= 0)).select("_document.*")
