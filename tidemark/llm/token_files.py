@@ -52,7 +52,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     free = np.ones(n, bool)  # positions whose selector is still open
     here = np.arange(n)
     for s in range(len(BITS) - 1):
-        over = np.concatenate([[0], np.cumsum(low >= np.uint64(1 << int(BITS[s])))])
+        large = low >= np.uint64(1 << int(BITS[s]))
+        if n - np.count_nonzero(large) < n // 4:  # too few small ids for this selector to be worth a look
+            continue
+        over = np.concatenate([[0], np.cumsum(large)])
         fits = free & (over[np.minimum(here + COUNTS[s], end)] == over[:n])
         choice[fits] = s
         free &= ~fits
