@@ -7,6 +7,8 @@ from tidemark.plans.staged import Plan
 
 TR = f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')}))"
 TP = "(high + low + close) / 3"
+#: Typical price times volume in thirds of a cent, whole numbers, so that sums do not depend on their order.
+CENTS = "CAST(round((high + low + close) * 100) AS BIGINT) * CAST(volume AS BIGINT)"
 UP = "greatest(close - c1, 0D)"
 DOWN = "greatest(c1 - close, 0D)"
 
@@ -77,8 +79,8 @@ PLANS: dict[str, Plan] = {
     "mfi": Plan(["mfi"], [{"tp": TP}, {"t1": lag("tp")}, {"pos": "CASE WHEN tp > t1 THEN tp * volume ELSE 0D END", "neg": "CASE WHEN tp < t1 THEN tp * volume ELSE 0D END"}, {"sp": roll("sum", "pos", 14), "sn": roll("sum", "neg", 14)}, {"mfi": "CASE WHEN sn IS NOT NULL THEN CASE WHEN sn = 0 THEN CASE WHEN sp > 0 THEN 100D END ELSE 100 - 100 / (1 + sp / sn) END END"}]),
     "ad_line": Plan(["ad", "cmf"], [{"mf": "coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0D) * volume"}, {"ad": cum("sum", "mf"), "cmf": f"{roll('sum', 'mf', 20)} / nullif({roll('sum', 'volume', 20)}, 0)"}], digits=4),
     "ease_of_movement": Plan(["eom"], [{"e": f"((high + low) / 2 - ({lag('high')} + {lag('low')}) / 2) * (high - low) * 1000000D / nullif(volume, 0)"}, {"eom": sma("e", 14)}], digits=0),
-    "vwap_month": Plan(["vwap"], [{"pv": f"{TP} * volume", "m": "date_trunc('month', time)"}, {"vwap": "sum(pv) OVER (PARTITION BY symbol, m ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / nullif(sum(volume) OVER (PARTITION BY symbol, m ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)"}], digits=4),
-    "anchored_vwap": Plan(["avwap"], [{"pv": f"CASE WHEN time >= DATE '1998-01-01' THEN {TP} * volume END", "v": "CASE WHEN time >= DATE '1998-01-01' THEN volume END"}, {"avwap": f"{cum('sum', 'pv')} / nullif({cum('sum', 'v')}, 0)"}], digits=4),
+    "vwap_month": Plan(["vwap"], [{"pv": CENTS, "m": "date_trunc('month', time)"}, {"vwap": "sum(pv) OVER (PARTITION BY symbol, m ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / nullif(300D * sum(volume) OVER (PARTITION BY symbol, m ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)"}]),
+    "anchored_vwap": Plan(["avwap"], [{"pv": f"CASE WHEN time >= DATE '1998-01-01' THEN {CENTS} END", "v": "CASE WHEN time >= DATE '1998-01-01' THEN volume END"}, {"avwap": f"{cum('sum', 'pv')} / nullif(300D * {cum('sum', 'v')}, 0)"}]),
     "ulcer_index": Plan(["ulcer"], [{"dd": f"100 * (close / {roll('max', 'close', 14)} - 1)"}, {"dd2": "dd * dd"}, {"ulcer": f"sqrt({sma('dd2', 14)})"}]),
     "vortex": Plan(["plus", "minus"], [{"tr": f"CASE WHEN {lag('close')} IS NOT NULL THEN {TR} END", "p": f"abs(high - {lag('low')})", "m": f"abs(low - {lag('high')})"}, {"plus": f"{roll('sum', 'p', 14)} / nullif({roll('sum', 'tr', 14)}, 0)", "minus": f"{roll('sum', 'm', 14)} / nullif({roll('sum', 'tr', 14)}, 0)"}]),
     "choppiness": Plan(["chop"], [{"tr": TR}, {"rng": f"{roll('max', 'high', 14)} - {roll('min', 'low', 14)}", "s": roll("sum", "tr", 14)}, {"chop": "CASE WHEN rng > 0 AND s > 0 THEN 100 * log10(s / rng) / log10(14D) END"}]),
