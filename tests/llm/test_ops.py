@@ -274,3 +274,14 @@ def test_oracles(spark, name):
     order = sorted(got.columns)
     assert sorted(rel.columns) == order
     assert sorted(map(str, (tuple(x[c] for c in order) for x in got.collect()))) == sorted(map(str, (tuple(x[rel.columns.index(c)] for c in order) for x in rel.fetchall())))
+
+
+def test_links_across_blocks():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: 60 - k % 9], rng.integers(0, 1 << 62, k % 5).astype(np.uint64)])) for k in range(40)]
+    whole = jaccard_join._links(sets, 0.8)
+    assert whole.any() and not whole.all()
+    across = jaccard_join._links(sets, 0.8, 15)
+    own = np.arange(40) < 15
+    assert (across == (whole & (own[:, None] != own[None, :]))).all()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a longest run of characters other than ASCII white space.
@@ -36,6 +36,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.read(name, df)
 
+    def save_seen(self, df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
+        """The saved table and its aggregate measures, taken while it is written."""
+        seen = Observation()
+        return self.save(df.observe(seen, *measures), name), seen.get
+
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
@@ -89,7 +94,9 @@ def components(edges: DataFrame, scratch: Scratch, label: str, a: str = "a", b:
     execution splits; no component is gathered in one task. Nodes without an
     edge do not appear. An empty edge list gives an empty result.
     """
-    cur = scratch.save(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), f"{label}-0")
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")]
+    start = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    cur, seen = scratch.save_seen(start, f"{label}-0", *sums)
     for k in range(1, 200):
         both = cur.union(cur.select("v", "u"))
         low = scratch.save(both.groupBy(F.col("u").alias("n")).agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{label}-low-{k}")
@@ -98,9 +105,8 @@ def components(edges: DataFrame, scratch: Scratch, label: str, a: str = "a", b:
         least = scratch.save(big.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")), f"{label}-small-{k}")
         small = big.join(least, big.u == least.n)
         hop = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = scratch.save(hop.union(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct(), f"{label}-{k}")
-        sums = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-        same = nxt.agg(*sums).first() == cur.agg(*sums).first()
+        nxt, now = scratch.save_seen(hop.union(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct(), f"{label}-{k}", *sums)
+        same, seen = now == seen, now
         scratch.drop(f"{label}-low-{k}", f"{label}-large-{k}", f"{label}-small-{k}", f"{label}-{k - 1}")
         cur = nxt
         if same:

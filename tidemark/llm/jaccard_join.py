@@ -10,8 +10,8 @@
 3. Within each connected cluster all pairs of classes are verified exactly on
    their sets, in blocks; each block gives link counts and a spanning forest.
 
-Buckets and clusters larger than a block are compared block by block, so that
-no task holds a whole group.
+Buckets and clusters larger than a block (of rows or bytes) are compared block
+by block, so that no task holds a whole group.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import chunks
@@ -38,7 +38,8 @@ BANDS, ROWS = 32, 4
 TOLERANCE = 1e-6
 STEPS = (16, 32, 64, BANDS * ROWS)
 BUCKET_BLOCK = 4096
-VERIFY_BLOCK = 256
+VERIFY_BLOCK = 1024
+VERIFY_BYTES = 16 << 20
 CHUNK_BYTES = 4 << 20
 
 _MULTIPLY = np.random.default_rng(5).integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -143,12 +144,11 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _in_blocks(df: DataFrame, count: str, node: str, block: int, keys: list[str]) -> DataFrame:
-    """Deal each group's rows into blocks of about ``block`` and repeat a row for each pair of blocks that it is in: columns i and j, and own, the row's block."""
-    many = F.ceil(F.col(count) / F.lit(block)).cast("int")
-    own = df.withColumn("many", many).withColumn("own", F.pmod(F.xxhash64(node), F.col("many")).cast("int"))
+def _in_blocks(df: DataFrame, blocks: Column, node: str, keys: list[str]) -> DataFrame:
+    """Deal each group's rows into that many blocks and repeat a row for each pair of blocks that it is in: columns i and j, and own, the row's block."""
+    own = df.withColumn("many", F.ceil(blocks).cast("int")).withColumn("own", F.pmod(F.xxhash64(node), F.col("many")).cast("int"))
     out = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    out = out.withColumns({"i": F.least("own", "with"), "j": F.greatest("own", "with")}).drop("with", "many", count)
+    out = out.withColumns({"i": F.least("own", "with"), "j": F.greatest("own", "with")}).drop("with", "many")
     cols = [*keys, "i", "j"]
     return out.repartition(*cols).sortWithinPartitions(*cols)
 
@@ -186,7 +186,7 @@ def jaccard_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
     bands = classes.select("node", F.posexplode("sig").alias("band", "key"))
     full = scratch.save(bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     met = scratch.save(bands.join(full, ["band", "key"]), "met")
-    dealt = _in_blocks(met.join(classes.select("node", "sig"), "node"), "n", "node", BUCKET_BLOCK, ["band", "key"])
+    dealt = _in_blocks(met.join(classes.select("node", "sig"), "node"), F.col("n") / F.lit(BUCKET_BLOCK), "node", ["band", "key"]).drop("n")
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["band", "key", "i", "j"]):
@@ -212,14 +212,16 @@ def jaccard_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
 
     grams = scratch.save(texts.select("text").mapInArrow(sets_of, "node binary, grams binary").groupBy("node").agg(F.first("grams").alias("grams")), "grams")
     members = scratch.save(clusters.join(sizes, "root").join(classes.select("node", "size"), "node"), "members")
-    blocks = _in_blocks(members.join(grams, "node"), "n", "node", VERIFY_BLOCK, ["root"])
+    weights = members.join(grams.select("node", F.length("grams").alias("own_bytes")), "node").groupBy("root").agg(F.sum("own_bytes").alias("bytes"))
+    weighed = members.join(weights, "root").withColumn("blocks", F.greatest(F.col("n") / F.lit(VERIFY_BLOCK), F.col("bytes") / F.lit(VERIFY_BYTES))).select("root", "node", "size", "blocks")
+    blocks = _in_blocks(weighed.join(grams, "node"), F.col("blocks"), "node", ["root"]).drop("blocks")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["root", "i", "j"]):
-            link = _links([np.frombuffer(x, np.uint64) for x in g.column("grams").to_pylist()], threshold)
-            own = g.column("own").to_numpy()
-            if g.column("i")[0] != g.column("j")[0]:
-                link &= own[:, None] != own[None, :]
+            i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
+            g = g.sort_by("own")
+            first = int((g.column("own").to_numpy() == i).sum()) if i != j else 0
+            link = _links([np.frombuffer(x, np.uint64) for x in g.column("grams").to_pylist()], threshold, first)
             node, size = g.column("node").to_pylist(), g.column("size").to_numpy()
             counts = link @ size
             ok = np.flatnonzero(counts)
@@ -241,11 +243,13 @@ def jaccard_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
     return linked.withColumn("kept", F.coalesce("kept", F.lit(False))).union(bare)
 
 
-def _links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which pairs of sets reach the threshold, exactly: intersections are counted gram by gram."""
+def _links(sets: list[np.ndarray], threshold: float, first: int = 0) -> np.ndarray:
+    """Which pairs of sets reach the threshold, exactly: intersections are counted gram by gram.
+
+    With ``first``, only pairs of one of the first so many sets and one of the rest.
+    """
     n = len(sets)
     size = np.array([len(s) for s in sets])
-    both = np.zeros((n, n))
     values, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(n), size)
     shared = df > 1  # a gram of one set adds to no intersection
@@ -254,14 +258,20 @@ def _links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     row, col = row[ok], name[code[ok]]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
+    one, two = (slice(0, first), slice(first, n)) if first else (slice(0, n), slice(0, n))
+    both = np.zeros((one.stop, n - two.start))
     for at in range(0, int(shared.sum()), 4096):
         x, y = np.searchsorted(col, [at, at + 4096])
         dense = np.zeros((n, 4096), np.float32)
         dense[row[x:y], col[x:y] - at] = 1
-        both += dense @ dense.T
-    union = size[:, None] + size[None, :] - both
-    link = both >= threshold * union - 1e-9
-    np.fill_diagonal(link, False)
+        both += dense[one] @ dense[two].T
+    near = both >= threshold * (size[one][:, None] + size[two][None, :] - both) - 1e-9
+    if not first:
+        np.fill_diagonal(near, False)
+        return near
+    link = np.zeros((n, n), bool)
+    link[one, two] = near
+    link[two, one] = near.T
     return link
 
 
