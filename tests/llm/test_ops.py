@@ -239,6 +239,50 @@ def test_line_dedup(docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def _edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        diagonal, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("block", [2, 512])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "VALUE_BLOCK", block)
+    monkeypatch.setattr(line_dedup, "LINE_BLOCK", block)
+    r = np.random.default_rng(9)
+    lines = []
+    for f in range(5):
+        base = _sentence(50 + f, 40).split()
+        for _ in range(9):  # chains: each line edits the one before, so the ends differ by more than the threshold
+            base[int(r.integers(40))] = "".join(r.choice(list("abcdefgh"), 5))
+            lines.append(" ".join(base))
+    lines += [lines[0].upper() + "!", "w " * 300 + "x", "w " * 300 + "y"]
+    rows = [(k, line) for k, line in enumerate(r.permutation(lines).tolist())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.n_removed for x in line_dedup.line_dedup(docs).collect()}
+    hashed = docs.select("doc_id", line_dedup.normalised(F.col("text")).alias("norm")).withColumn("h", line_dedup.simhash(F.col("norm"))).collect()
+    root = list(range(len(rows)))
+    info = {x.doc_id: (x.norm, x.h) for x in hashed}
+    for a in range(len(rows)):
+        for b in range(a):
+            (x, h), (y, g) = info[a], info[b]
+            if ((h ^ g) & (2**64 - 1)).bit_count() <= 3 and _edit(x, y) <= int(max(len(x), len(y)) * 0.1 + 1e-9):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if k == old else k for k in root]
+    assert len(set(root)) < len(rows) - 10
+    assert got == {k: int(root[k] != k) for k in range(len(rows))}
+
+
+def test_simhash_votes_agree(spark):
+    """Fields of 8 and 16 bits and counting bit by bit give one value."""
+    h = spark.createDataFrame([(_sentence(4, n),) for n in (1, 2, 7, 200)], "t string").select(F.transform(F.split("t", " "), lambda w: F.xxhash64(w)).alias("h"))
+    for x in h.select(line_dedup._packed_votes(F.col("h"), 8).alias("a"), line_dedup._packed_votes(F.col("h"), 16).alias("b"), line_dedup._counted_votes(F.col("h")).alias("c")).collect():
+        assert x.a == x.b == x.c
+
+
 def test_simhash_blocks_meet(spark):
     a, rnd = 0x0123456789ABCDEF, np.random.default_rng(3)
     for _ in range(20):
