@@ -11,6 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import portfolios
 from tidemark.sources.bars import DAILY_SQL, HOURLY_SQL, SPARSE_SQL, daily_bars, hourly_bars, sparse_bars, table
 
 W = "PARTITION BY symbol ORDER BY time"
@@ -134,6 +135,8 @@ WITH s AS (SELECT symbol, time, close, row_number() OVER (PARTITION BY symbol OR
 SELECT symbol, CAST(time AS STRING) AS time, close, round(sma50, 6) AS sma50, round(sma200, 6) AS sma200, round(close / hi52 - 1, 6) AS off_high, round(close / lo52 - 1, 6) AS off_low, round(rvol, 6) AS rvol, CASE WHEN close > sma50 AND sma50 > sma200 THEN 'up' WHEN close < sma50 AND sma50 < sma200 THEN 'down' ELSE 'mixed' END AS trend FROM s WHERE n = 1""",
 }
 
+SQL |= portfolios.SQL
+
 #: Order of the Spark views' making; each is a lazy plan.
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -150,7 +153,7 @@ def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _oracle(text: str) -> str:
-    text = re.sub(r"(?<![\w.])(-?\d+(?:\.\d+)?)D\b", r"CAST(\1 AS DOUBLE)", text).replace("percentile(", "quantile_cont(").replace(" AS STRING)", " AS VARCHAR)")
+    text = re.sub(r"(?<![\w.])(-?\d+(?:\.\d+)?)D\b", r"CAST(\1 AS DOUBLE)", text).replace("percentile(", "quantile_cont(").replace(" AS STRING)", " AS VARCHAR)").replace("unix_date(", "date_diff('day', DATE '1970-01-01', ")
     text = re.sub(r"datediff\((\w+(?:\.\w+)?), ((?:[^()]|\([^()]*(?:\([^()]*\))?[^()]*\))*?)\) AS", r"date_diff('day', \2, \1) AS", text)
     text = re.sub(r"CAST\(datediff\(f.time, f.seen\) AS BIGINT\)", "date_diff('day', f.seen, f.time)", text)
     text = text.replace("explode(sequence(lo, hi, INTERVAL 1 DAY))", "unnest(generate_series(lo, hi, INTERVAL 1 DAY))").replace("explode(sequence(min(day), max(day), INTERVAL 1 DAY))", "unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))")

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans import analytics, kernels
-from tidemark.plans.indicators import PLANS
+from tidemark.plans.events import EVENTS
+from tidemark.plans.indicators import PLANS as INDICATORS
 from tidemark.sources.bars import DAILY_SQL, HOURLY_SQL, SPARSE_SQL, daily_bars, hourly_bars, sparse_bars
 
+PLANS = INDICATORS | EVENTS
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
