@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import options, recursive, strategies, text
+from tidemark.operators import options, recursive, strategies, text, validation
 from tidemark.plans.indicators import PLANS
 from tidemark.sources.bars import DAILY_SQL, daily_bars, table
 
@@ -50,6 +51,43 @@ def strategy_backtests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("strategy", F.year("time").cast("long").alias("year")).agg(F.round(F.sum("net"), 8).alias("net"), F.round(F.sum("turnover"), 8).alias("turnover"))
 
 
+def state_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of the state machines: the bar on which each changes side or crosses its line."""
+    w = W.partitionBy("symbol").orderBy("time")
+    df = recursive.with_states(daily_bars(spark, sf_dir), "supertrend", "psar", "schaff", "klinger", "dow")
+    was = lambda c: F.lag(c).over(w)
+    flip = lambda c, side: (F.col(c) == side) & (was(c) == -side)
+    turn = lambda side: (F.col("dow") == side) & (was("dow") != side)
+    out = {
+        "supertrend_flip_up": flip("st_trend", 1), "supertrend_flip_down": flip("st_trend", -1), "psar_flip_up": flip("psar_trend", 1), "psar_flip_down": flip("psar_trend", -1),
+        "schaff_up": (F.col("schaff") > 25) & (was("schaff") <= 25), "schaff_down": (F.col("schaff") < 75) & (was("schaff") >= 75), "dow_turn_up": turn(1), "dow_turn_down": turn(-1),
+        "klinger_bull_cross": (F.col("kvo") > F.col("kvo_signal")) & (was("kvo") <= was("kvo_signal")), "klinger_bear_cross": (F.col("kvo") < F.col("kvo_signal")) & (was("kvo") >= was("kvo_signal")),
+    }
+    nulls = {c: F.when(~F.isnan(c), F.col(c)) for c in ("st_trend", "psar_trend", "schaff", "kvo", "kvo_signal", "dow")}
+    return _day(df.withColumns(nulls).select("symbol", "time", *[F.coalesce(v, F.lit(False)).alias(k) for k, v in out.items()]), "time")
+
+
+def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(strategy, time, weights, moves, net) of every state strategy, equal weight over symbols, at 5 basis points."""
+    pos = strategies.positions(daily_bars(spark, sf_dir))
+    w = W.partitionBy("strategy", "symbol").orderBy("time")
+    long = pos.unpivot(["symbol", "time", "close"], list(strategies.POSITIONS), "strategy", "position")
+    held = F.coalesce(F.lag("position").over(w), F.lit(0.0)) / 3
+    x = long.select("*", held.alias("held"), F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)).alias("move"))
+    x = x.withColumn("traded", F.abs(F.col("held") - F.coalesce(F.lag("held").over(w), F.lit(0.0))))
+    names = ("A", "N", "R")  # the driver table's three flags
+    slot = lambda c: F.array(*[F.coalesce(F.sum(F.when(F.col("symbol") == s, F.col(c))), F.lit(0.0)) for s in names])
+    return x.groupBy("strategy", "time").agg(slot("held").alias("weights"), slot("move").alias("moves"), (F.sum(F.col("held") * F.col("move")) - F.sum("traded") * 5 / 1e4).alias("net"))
+
+
+def strategy_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sharpe ratio with its probabilities, bootstrap interval and permutation p of every state strategy."""
+    book = _book(spark, sf_dir)
+    stats = validation.sharpe_stats(book, trials=len(strategies.POSITIONS))
+    out = stats.join(validation.bootstrap_sharpe(book), "strategy", "left").join(validation.permutation_p(book).drop("real"), "strategy", "left")
+    return out.select("strategy", "n", *[F.round(c, 6).alias(c) for c in ("sharpe", "psr", "dsr", "ci_low", "ci_high", "p_le_0", "p")])
+
+
 def scorecard_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each signal's events at each horizon: count, hit rate, mean, median and edge over the symbol's own base rate."""
     bars = daily_bars(spark, sf_dir)
@@ -120,4 +158,4 @@ SELECT signal, sig_f.horizon, count(*) AS n, round(avg(CASE WHEN r > 0 THEN 1.0:
 FROM (SELECT sig.symbol, signal, horizon, r FROM sig JOIN fwd ON sig.symbol = fwd.symbol AND sig.time = fwd.time WHERE r IS NOT NULL) sig_f JOIN base ON sig_f.symbol = base.symbol AND sig_f.horizon = base.horizon GROUP BY 1, 2""",
 }
 
-QUERIES = {f.__name__: f for f in (state_columns, zigzag, renko, point_figure, state_strategies, strategy_backtests, scorecard_native, token_tone, headline_slug, page_text, sentence_counts, novelty_cosine, headline_dedupe, option_greeks)}
+QUERIES = {f.__name__: f for f in (state_columns, state_signals, strategy_significance, zigzag, renko, point_figure, state_strategies, strategy_backtests, scorecard_native, token_tone, headline_slug, page_text, sentence_counts, novelty_cosine, headline_dedupe, option_greeks)}
