@@ -136,6 +136,19 @@ SELECT symbol, CAST(time AS STRING) AS time, close, round(sma50, 6) AS sma50, ro
 }
 
 SQL |= portfolios.SQL
+SQL |= {
+    "unusual_activity": f"""
+WITH {CHAIN}, m AS (SELECT expiry, kind, percentile(volume, 0.5) AS med FROM chain WHERE volume > 0 GROUP BY expiry, kind),
+x AS (SELECT chain.*, volume / nullif(oi, 0) AS vol_oi, volume / med AS vol_vs_med, volume * mid * 100 AS premium FROM chain LEFT JOIN m ON m.expiry = chain.expiry AND m.kind = chain.kind),
+f AS (SELECT *, coalesce(vol_oi >= 0.05D, false) OR (oi = 0 AND volume >= 5) AS f_oi, coalesce(vol_vs_med >= 1.5D, false) AS f_med, coalesce(round(premium, 2) >= 20000, false) AS f_premium FROM x)
+SELECT CAST(expiry AS STRING) AS expiry, kind, strike, volume, oi, round(vol_oi, 6) AS vol_oi, round(vol_vs_med, 6) AS vol_vs_med, round(premium, 2) AS premium, f_oi, f_med, f_premium FROM f WHERE volume >= 5 AND (f_oi OR f_med OR f_premium)""",
+    "iv_rank": f"""
+WITH r AS (SELECT symbol, time, ln(close / lag(close) OVER ({W})) AS r FROM bars),
+v AS (SELECT symbol, time, CASE WHEN count(r) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 20 THEN round(stddev_samp(r) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) * sqrt(252D), 9) END AS vol FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS n FROM v WHERE vol IS NOT NULL), h AS (SELECT * FROM k WHERE n <= 252),
+c AS (SELECT symbol, max_by(vol, time) AS now, min(vol) AS lo, max(vol) AS hi, CAST(count(*) AS BIGINT) AS n_obs FROM h GROUP BY symbol)
+SELECT h.symbol, n_obs, round(lo, 6) AS vol_min, round(hi, 6) AS vol_max, round((now - lo) / nullif(hi - lo, 0), 5) AS vol_rank, round(avg(CASE WHEN vol < now THEN 1D ELSE 0D END), 6) AS vol_percentile FROM h JOIN c ON c.symbol = h.symbol GROUP BY h.symbol, n_obs, lo, hi, now""",
+}
 
 #: Order of the Spark views' making; each is a lazy plan.
 TABLES = "region nation customer supplier part orders lineitem events".split()

@@ -66,6 +66,7 @@ def trend_age() -> Plan:
 
 EVENTS: dict[str, Plan] = {
     "adx_signals": crossing("adx", "adx", "plus_di", "minus_di", ("di_bull", "di_bear"), "adx > 25"),
+    "adx_trend": then("adx", {"position": "CASE WHEN adx > 25 AND plus_di > minus_di THEN 1D WHEN adx > 25 AND minus_di > plus_di THEN -1D ELSE 0D END"}),
     "aroon_signals": crossing("aroon", "aroon", "up", "down"),
     "trix_signals": crossing("trix", "trix", "trix", "signal"),
     "kst_signals": crossing("kst", "kst", "kst", "signal"),
