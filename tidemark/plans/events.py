@@ -61,7 +61,7 @@ def gap_kinds() -> Plan:
 
 def trend_age() -> Plan:
     """Bars since the close last crossed its 50-bar average."""
-    return then("regime", {"n": f"row_number() OVER ({KEY})", "side": "CASE WHEN close > s50 THEN 1 WHEN close <= s50 THEN -1 END"}, {"turned": f"CASE WHEN side <> {lag('side')} THEN n END"}, {"age": f"n - max(turned) OVER {CUM}"})
+    return then("regime", {"n": f"row_number() OVER ({KEY})", "side": "CASE WHEN close > s50 THEN 1 WHEN close <= s50 THEN -1 END"}, {"turned": f"CASE WHEN side <> {lag('side')} THEN n END"}, {"age": f"CAST(n - max(turned) OVER {CUM} AS BIGINT)"})
 
 
 EVENTS: dict[str, Plan] = {
