@@ -307,6 +307,28 @@ def test_lm_score(spark, docs, empty):
     assert lm_score.lm_score(empty).count() == 0
 
 
+def test_lm_score_trains_on_every_position(spark):
+    """With the query's own parameters: what stands only at places 3, 19, 35, ... is learnt."""
+    r = np.random.default_rng(8)
+    text = lambda right: " ".join(w for x in r.integers(0, 2, 8) for w in ["f", "f", "ab"[x], "pq"[x if right else 1 - x], *"f" * 12])
+    rows = [(k, text(True)) for k in range(600)] + [(1000, text(True)), (1001, text(False))]
+    got = {x.doc_id: x.mean_log_likelihood for x in lm_score.lm_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1000] - got[1001]) * 16 > 1
+
+
+def test_lm_score_rare_words_have_context(spark):
+    """Two rare words of one class and one frequency are told apart by the word before."""
+    common = [f"c{k}" for k in range(200)]
+    bin_of = lambda w: int(lm_score.tokens(pa.array([w]))[0][0])
+    used = {bin_of(w) for w in [*common, "left", "right"]}
+    rare = [w for w in (f"r{k}" for k in range(3000)) if bin_of(w) not in used]
+    a, b = next((x, y) for x in rare[:1] for y in rare[1:] if (bin_of(x) - bin_of(y)) % 32 == 0 and bin_of(x) != bin_of(y))
+    rows = [(k, " ".join(common)) for k in range(60)] + [(100 + k, f"left {a}" if k % 2 else f"right {b}") for k in range(40)]
+    rows += [(1000, f"left {a}"), (1001, f"left {b}"), (1002, f"right {a}"), (1003, f"right {b}")]
+    got = {x.doc_id: x.log_likelihood for x in lm_score.lm_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000] > got[1001] + 0.5 and got[1003] > got[1002] + 0.5
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracles(spark, name):
     sf = "/root/testdata/sf0.001"

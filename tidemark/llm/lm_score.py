@@ -3,13 +3,15 @@
 Words are hashed into BINS tokens, and tokens into classes: the most frequent
 have one each, the others share. A network sees the classes of the two tokens
 before and the two after a masked one (embeddings, one hidden layer) and
-predicts its class; the token within its class follows the corpus counts. A
-document's score is the sum over its tokens of the log-probability of each
-given both sides.
-
-All documents are counted. All give training windows, every STRIDE-th of
-theirs: each task fits the network to its own windows, and the weights of all
-tasks are averaged by their number of windows, for some rounds.
+predicts its class. The token within its class follows the corpus counts next
+to the token before and next to the one after, half each; for these the most
+frequent tokens are a context each, the other classes share some, and the counts
+are smoothed by the class's own. A document's score is the sum over its tokens of the
+log-probability of each given both sides.
+
+All documents are counted, and every position of theirs gives a training window
+in each round: each task fits the network to its own windows, and the weights of
+all tasks are averaged by their number of windows, for some rounds.
 """
 
 from __future__ import annotations
@@ -30,7 +32,10 @@ BINS = 1 << 16
 CLASSES, OWN = 128, 96
 EDGE = CLASSES  # what stands beyond a text's ends
 SIDE, WIDTH, HIDDEN = 2, 12, 24
-STRIDE, ROUNDS, BATCH, RATE = 16, 2, 256, 0.1
+STRIDE, ROUNDS, BATCH, RATE = 1, 2, 256, 0.1
+#: What a neighbour counts as within a class: one of the most frequent tokens, a share of the other classes, an edge (the last); and the weight of the class's own counts.
+CONTEXTS, PRIOR = 32, 8.0
+CONTEXT = np.concatenate([np.arange(16), 16 + np.arange(16, CLASSES) % (CONTEXTS - 17), [CONTEXTS - 1]])
 SLICE = 1 << 15
 
 
@@ -94,8 +99,41 @@ def windows(classes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return padded[at[:, None] + np.array([k for k in range(2 * SIDE + 1) if k != SIDE])]
 
 
+def _within(encoded: DataFrame, held, counts: np.ndarray, class_of: np.ndarray) -> np.ndarray:
+    """The probability of each bin in its class: one row for each side, in it one value for each bin and context."""
+    cells = BINS * CONTEXTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * cells, np.int64)
+        for b in batches:
+            raw = [np.frombuffer(x, np.uint16) for x in b.column("bins").to_pylist()]
+            ends = np.cumsum([len(x) for x in raw if len(x)])
+            if not len(ends):
+                continue
+            bins = np.concatenate(raw).astype(np.int64)
+            context = CONTEXT[held.value[bins]]
+            left, right = np.roll(context, 1), np.roll(context, -1)
+            right[ends - 1] = left[np.concatenate([[0], ends[:-1]])] = CONTEXTS - 1
+            for cell in (bins * CONTEXTS + left, cells + bins * CONTEXTS + right):
+                cell, n = np.unique(cell, return_counts=True)
+                total[cell] += n
+        some = np.flatnonzero(total)
+        for x in range(0, len(some), SLICE):
+            yield pa.RecordBatch.from_arrays([pa.array(some[x : x + SLICE], pa.int32()), pa.array(total[some[x : x + SLICE]])], ["cell", "n"])
+
+    got = encoded.select("bins").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * cells rows
+    near = np.zeros(2 * cells)
+    near[got["cell"].to_numpy()] = got["n"].to_numpy()
+    near = near.reshape(2, BINS, CONTEXTS)
+    own = (counts + 1) / np.bincount(class_of, counts + 1, minlength=CLASSES)[class_of]
+    mass = np.zeros((2, CLASSES, CONTEXTS))
+    for side in (0, 1):
+        np.add.at(mass[side], class_of, near[side])
+    return ((near + PRIOR * own[:, None]) / (mass[:, class_of] + PRIOR)).astype(np.float32).reshape(2, cells)
+
+
 def fit_model(encoded: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each bin, log-probability of each bin in its class, weights); each of fixed size."""
+    """(class of each bin, probability of each bin in its class by side and context, weights); each of fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS, np.int64)
@@ -110,11 +148,10 @@ def fit_model(encoded: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) ->
         counts[r.bin] = r.n
     class_of = OWN + np.arange(BINS) % (CLASSES - OWN)
     class_of[np.argsort(-counts, kind="stable")[:OWN]] = np.arange(OWN)
-    mass = np.bincount(class_of, counts + 1, minlength=CLASSES)
-    within = np.log((counts + 1) / mass[class_of])
+    held = encoded.sparkSession.sparkContext.broadcast(class_of)
+    within = _within(encoded, held, counts, class_of)
 
     weights = Network().flat
-    held = encoded.sparkSession.sparkContext.broadcast(class_of)
     for k in range(rounds):
         start = encoded.sparkSession.sparkContext.broadcast(weights)
 
@@ -187,7 +224,9 @@ def lm_score(df: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds:
             near = np.array([k for k in range(-SIDE, SIDE + 1) if k])
             for x in range(0, len(bins), SLICE):
                 at = place[x : x + SLICE]
-                got = net.log_prob(line[at[:, None] + near], line[at]) + within[bins[x : x + SLICE]]
+                cell = bins[x : x + SLICE].astype(np.int64) * CONTEXTS
+                token = (within[0, cell + CONTEXT[line[at - 1]]] + within[1, cell + CONTEXT[line[at + 1]]]) / 2
+                got = net.log_prob(line[at[:, None] + near], line[at]) + np.log(token)
                 sums += np.bincount(owner[x : x + SLICE], got, minlength=len(raw))
             n = np.diff(np.concatenate([[0], ends]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums), pa.array([s / m if m else None for s, m in zip(sums.tolist(), n.tolist(), strict=True)], pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
