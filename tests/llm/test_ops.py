@@ -218,6 +218,20 @@ def test_token_files(spark, docs, empty):
     assert token_files.read_token_files(spark, out).count() == 0
 
 
+def test_token_files_markers(spark):
+    """Texts that hold the tokenizer's own markers get the ids of an untouched tokenizer."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = [f"{a}{m}{b}" for m in ("<|endoftext|>", "<|startoftext|>") for a in ("Alpha ", "Alpha", "x.", "É", "") for b in (" beta", "beta", "!", "")]
+    texts += ["<|endoftext|><|startoftext|>", "<|ENDOFTEXT|>", "<|end oftext|>", " <|endoftext|>  <|endoftext|>\n", "Alpha<|endoftext|>Beta<|startoftext|>, gamma"]
+    out = Scratch(spark, "t").path("m")
+    token_files.write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bpe.read_ranks(path), out)
+    got = {x.doc_id: list(x.ids) for x in token_files.read_token_files(spark, out).collect()}
+    assert got == {k: t.encode(text, add_special_tokens=False).ids + [2] for k, text in enumerate(texts)}
+
+
 def test_url_filter(spark):
     log = spark.createDataFrame([("b.com", "add", datetime(2024, 1, 2)), ("B.com", "remove", datetime(2024, 1, 5)), ("x.b.com", "add", datetime(2024, 1, 3)), (None, "add", datetime(2024, 1, 1)), ("c.com", "remove", datetime(2024, 1, 1))], "entry string, action string, at timestamp")
     rows = [("http://b.com/", 1), ("http://b.com/", 2), ("https://u@X.B.com.:80/p", 4), ("https://x.b.com", 6), ("http://b.com", 5), ("http://nob.com", 3), (None, 3), ("b.com", 3), ("http://b.com", None), ("http://c.com", 9)]

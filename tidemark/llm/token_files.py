@@ -111,7 +111,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content.decode())
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
