@@ -365,3 +365,17 @@ def test_links_across_blocks():
     across = jaccard_join._links(sets, 0.8, 15)
     own = np.arange(40) < 15
     assert (across == (whole & (own[:, None] != own[None, :]))).all()
+
+
+def test_links_with_an_empty_block(spark, monkeypatch):
+    """Clusters of 3 and 4 sets that their bytes split into blocks, some of them empty: each link counts once."""
+    sets = [np.arange(60, dtype=np.uint64)] * 3
+    assert not jaccard_join._links(sets, 0.8, 0).any() and not jaccard_join._links(sets, 0.8, 3).any()
+    monkeypatch.setattr(jaccard_join, "VERIFY_BYTES", 1200)
+    rows = []
+    for f in range(24):
+        base = _sentence(300 + f, 100).split()
+        rows += [(10 * f + k, " ".join(base + [f"end{f}x{k}"])) for k in range(3 + f % 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.class_id, x.n_links) for x in jaccard_join.jaccard_join(df).collect()}
+    assert got == {i: (i // 10 * 10, 2 + i // 10 % 2) for i, _ in rows}

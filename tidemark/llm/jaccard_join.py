@@ -220,7 +220,7 @@ def jaccard_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
         for g in _groups(batches, ["root", "i", "j"]):
             i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
             g = g.sort_by("own")
-            first = int((g.column("own").to_numpy() == i).sum()) if i != j else 0
+            first = int((g.column("own").to_numpy() == i).sum()) if i != j else None
             link = _links([np.frombuffer(x, np.uint64) for x in g.column("grams").to_pylist()], threshold, first)
             node, size = g.column("node").to_pylist(), g.column("size").to_numpy()
             counts = link @ size
@@ -243,12 +243,14 @@ def jaccard_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
     return linked.withColumn("kept", F.coalesce("kept", F.lit(False))).union(bare)
 
 
-def _links(sets: list[np.ndarray], threshold: float, first: int = 0) -> np.ndarray:
+def _links(sets: list[np.ndarray], threshold: float, first: int | None = None) -> np.ndarray:
     """Which pairs of sets reach the threshold, exactly: intersections are counted gram by gram.
 
-    With ``first``, only pairs of one of the first so many sets and one of the rest.
+    With ``first``, only pairs of one of the first so many sets and one of the rest; none if either is empty.
     """
     n = len(sets)
+    if first is not None and not 0 < first < n:
+        return np.zeros((n, n), bool)
     size = np.array([len(s) for s in sets])
     values, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(n), size)
@@ -258,7 +260,7 @@ def _links(sets: list[np.ndarray], threshold: float, first: int = 0) -> np.ndarr
     row, col = row[ok], name[code[ok]]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    one, two = (slice(0, first), slice(first, n)) if first else (slice(0, n), slice(0, n))
+    one, two = (slice(0, n), slice(0, n)) if first is None else (slice(0, first), slice(first, n))
     both = np.zeros((one.stop, n - two.start))
     for at in range(0, int(shared.sum()), 4096):
         x, y = np.searchsorted(col, [at, at + 4096])
@@ -266,7 +268,7 @@ def _links(sets: list[np.ndarray], threshold: float, first: int = 0) -> np.ndarr
         dense[row[x:y], col[x:y] - at] = 1
         both += dense[one] @ dense[two].T
     near = both >= threshold * (size[one][:, None] + size[two][None, :] - both) - 1e-9
-    if not first:
+    if first is None:
         np.fill_diagonal(near, False)
         return near
     link = np.zeros((n, n), bool)
