@@ -89,26 +89,29 @@ def components(edges: DataFrame, scratch: Scratch, label: str, a: str = "a", b:
     """Connected components of an edge list as (node, root), root the least node.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), each
-    round written to the shared folder, until the edge set stops changing.
-    Every step is a group-by minimum and a join whose hot keys adaptive
-    execution splits; no component is gathered in one task. Nodes without an
-    edge do not appear. An empty edge list gives an empty result.
+    round one job written to the shared folder, until the edge set stops
+    changing. Every step is a group-by minimum and a join whose hot keys
+    adaptive execution splits; no component is gathered in one task. Nodes
+    without an edge do not appear. An empty edge list gives an empty result.
     """
     sums = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")]
     start = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     cur, seen = scratch.save_seen(start, f"{label}-0", *sums)
     for k in range(1, 200):
+        if not seen["n"]:
+            break
         both = cur.union(cur.select("v", "u"))
-        low = scratch.save(both.groupBy(F.col("u").alias("n")).agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{label}-low-{k}")
+        low = both.groupBy(F.col("u").alias("n")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, both.u == low.n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        big = scratch.save(large.where("u != v").distinct(), f"{label}-large-{k}")
-        least = scratch.save(big.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")), f"{label}-small-{k}")
-        small = big.join(least, big.u == least.n)
-        hop = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        big = large.where("u != v").distinct()
+        least = big.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
+        hop = big.join(least, big.u == least.n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt, now = scratch.save_seen(hop.union(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct(), f"{label}-{k}", *sums)
         same, seen = now == seen, now
-        scratch.drop(f"{label}-low-{k}", f"{label}-large-{k}", f"{label}-small-{k}", f"{label}-{k - 1}")
+        scratch.drop(f"{label}-{k - 1}")
         cur = nxt
         if same:
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(cur.select("v", "v").distinct())
-    raise RuntimeError("components did not settle in 200 rounds")
+            break
+    else:
+        raise RuntimeError("components did not settle in 200 rounds")
+    return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(cur.select("v", "v").distinct())
