@@ -201,7 +201,6 @@ def test_token_files(spark, docs, empty):
 
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     out = Scratch(spark, "t").path("f")
     token_files.write_token_files(docs, bpe.read_ranks(path), out)
     got = sorted(token_files.read_token_files(spark, out).collect(), key=lambda x: x.start)
@@ -392,3 +391,55 @@ def test_links_with_an_empty_block(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x.doc_id: (x.class_id, x.n_links) for x in jaccard_join.jaccard_join(df).collect()}
     assert got == {i: (i // 10 * 10, 2 + i // 10 % 2) for i, _ in rows}
+
+
+NAMES = ["_mix", "_base", "_bucket", "_place", "_rate", "_k", "_key", "_spans", "_hit", "_g", "_lines", "_again", "_own", "_id", "_mark", "row", "rows", "at", "source_size", "bin", "text_", "a.b"]
+
+
+@pytest.mark.parametrize("apply", ["shard", "mix", "repeat", "urls", "judge", "keep"])
+def test_clashing_columns_pass_through(spark, labels, apply):
+    """Columns named as the operators' own helpers, and one with a dot, come back with their values."""
+    rows = spark.createDataFrame([(k, _sentence(k, 30), "s", f"http://h{k}.com/") for k in range(4)], "doc_id long, text string, source string, url string")
+    df = rows.select("*", *[(F.col("doc_id") * 100 + n).alias(name) for n, name in enumerate(NAMES)]).withColumn("fetched_at", F.lit("2024-01-02").cast("timestamp"))
+    log = spark.createDataFrame([("h1.com", "add", datetime(2024, 1, 1))], "entry string, action string, at timestamp")
+    ops = {"shard": lambda: sharding.shuffle_shards(df, Scratch(spark, "t").path("c")), "mix": lambda: mixing.mix(df), "repeat": lambda: mixing.repeat_rows(df), "urls": lambda: url_filter.filter_urls(df, log), "judge": lambda: quality.judge(df, labels), "keep": lambda: quality.keep_good(df, labels, threshold=-99.0)}
+    out = ops[apply]()
+    assert set(df.columns) <= set(out.columns)
+    own = [n for n in NAMES if (apply, n) != ("mix", "_rate")]  # which mix adds itself
+    got = {(x["doc_id"], *[x[n] for n in own]) for x in out.collect()}
+    assert got == {(k, *[k * 100 + NAMES.index(n) for n in own]) for k in range(4)}
+
+
+def test_shards_by_highest_hash(spark, docs):
+    """shard_of and the grown shard against the hashes themselves."""
+    hashes = docs.select("doc_id", F.array(*[F.xxhash64(F.lit(sharding.SEED), F.col("doc_id"), F.lit(j)) for j in range(9)]).alias("h"), sharding.shard_of(F.col("doc_id"), 8).alias("s"), sharding.shard_of(F.col("doc_id"), 9).alias("g"))
+    for x in hashes.collect():
+        assert x.s == max(range(8), key=lambda j: x.h[j]) and x.g == max(range(9), key=lambda j: x.h[j])
+
+
+def test_quality_scores_against_counts(spark, docs, labels):
+    """score and kept recomputed from the words, with Spark's hash for the bins only."""
+    got = quality.judge(docs, labels).collect()
+    texts = [WORD.findall(t or "") for _, t in ROWS]
+    grams = lambda w: [(x,) for x in w] + list(zip(w, w[1:], strict=False))
+    known = sorted({g for w in texts for g in grams(w)}, key=str)
+    one = spark.createDataFrame([(k, *g, *[None] * (2 - len(g))) for k, g in enumerate(known)], "k int, a string, b string")
+    bins = {known[x.k]: x.bin for x in one.select("k", F.when(F.col("b").isNull(), quality._bin(F.col("a"), n=quality.BINS)).otherwise(quality._bin(F.col("a"), F.col("b"), n=quality.BINS)).alias("bin")).collect()}
+    raw, good = Counter(), Counter()
+    for (i, _), w in zip(ROWS, texts, strict=True):
+        raw.update(bins[g] for g in grams(w))
+        good.update(bins[g] for g in grams(w) if i in (0, 3, 6))
+    n, total, trusted = quality.BINS, sum(raw.values()), sum(good.values())
+    table = {b: round(1e6 * (np.log((good[b] + 1) / (trusted + n)) - np.log((raw[b] + 1) / (total + n)))) for b in raw}
+    for x in got:
+        w = WORD.findall(x.text or "")
+        if not x.base_failed:
+            want = sum(table[bins[g]] for g in grams(w)) / (2 * len(w) - 1) / 1e6
+            assert x.score == pytest.approx(want) and x.kept == (want >= quality.THRESHOLD)
+
+
+def test_one_kept_in_each_class(spark, docs):
+    got = jaccard_join.jaccard_join(docs).collect()
+    kept = Counter(x.class_id for x in got if x.kept and x.doc_id in (7, 8))
+    assert kept == {7: 1}
+    assert jaccard_join.keep_representatives(docs).where("doc_id in (7, 8)").count() == 1

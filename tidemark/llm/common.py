@@ -16,14 +16,17 @@ GAP = r"[\x20\x09-\x0D]+"
 class Scratch:
     """Tables in the folder that the cluster shares.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only
-    where that is unset (single-machine tests) is a local one made and set.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Where
+    that is unset, a local one is made and set if the master is local, as in
+    tests; on a cluster it is an error.
     A table written here cuts lineage and survives lost executors.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
             spark.conf.set("spark.checkpoint.dir", base)
@@ -52,6 +55,16 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def carried(df: DataFrame, name: str = "row") -> Column:
+    """The caller's row as one struct, so that none of its columns meets a helper's, whatever their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+def given(df: DataFrame, *added: str, name: str = "row") -> list[Column]:
+    """The carried row's columns under their own names, without those that ``added`` replaces."""
+    return [F.col(name)[c].alias(c) for c in df.columns if c not in added]
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

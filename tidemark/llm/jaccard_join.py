@@ -160,7 +160,7 @@ def jaccard_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
     ``threshold`` are linked; class_id is the least doc_id of those connected
     by links, n_links the number of rows linked with this one, copies
     included; kept holds for one row of each class, that of least (doc_id,
-    mark), mark being the text's hash. Rows that repeat both are alike. A
+    mark), mark being the text's hash, and one of the rows that repeat both. A
     text without words (empty or null) has no links. Null ids are least. An
     empty table gives an empty result. Other columns are not read.
     """
@@ -178,8 +178,9 @@ def jaccard_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(digest, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "mark", "node", "sig"])
 
-    signed = scratch.save(slim.mapInArrow(sign, "doc_id long, mark long, node binary, sig array<long>"), "signed")
-    least = F.min(F.struct("doc_id", "mark")).alias("first")
+    signed = slim.mapInArrow(sign, "doc_id long, mark long, node binary, sig array<long>")
+    signed = scratch.save(signed.withColumn("rid", F.monotonically_increasing_id()), "signed")  # rid tells apart rows that repeat both
+    least = F.min(F.struct("doc_id", "mark", "rid")).alias("first")
     classes = scratch.save(signed.where("sig is not null").groupBy("node").agg(least, F.count(F.lit(1)).alias("size"), F.first("sig").alias("sig")), "classes")
 
     # candidates: classes in a bucket with others, cut to what Bayesian pruning leaves connected
@@ -237,10 +238,10 @@ def jaccard_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
     known = classes.join(own, "node", "left").join(links, "node", "left")
     known = scratch.save(known.select("node", F.coalesce("head", "first").alias("head"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "known")
     some = signed.where("sig is not null").join(known, "node")
-    mine = F.struct("doc_id", "mark")
-    linked = some.select("doc_id", F.col("head.doc_id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"), (mine == F.col("head")).alias("kept"), "mark")
+    mine = F.struct("doc_id", "mark", "rid")
+    linked = some.select("doc_id", F.col("head.doc_id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"), mine.eqNullSafe(F.col("head")).alias("kept"), "mark")
     bare = signed.where("sig is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), "mark")
-    return linked.withColumn("kept", F.coalesce("kept", F.lit(False))).union(bare)
+    return linked.union(bare)
 
 
 def _links(sets: list[np.ndarray], threshold: float, first: int | None = None) -> np.ndarray:
@@ -278,7 +279,8 @@ def _links(sets: list[np.ndarray], threshold: float, first: int | None = None) -
 
 
 def keep_representatives(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The input's rows, all columns, one of each class; rows that repeat id and text count once, unless without words."""
+    """The input's rows, all columns, one of each class; rows without words all stay."""
     found = jaccard_join(df, text, doc_id, **options)
-    keys = found.groupBy("doc_id", "mark").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("kept").select("doc_id", "mark", "n")
+    n = F.when(F.every("kept"), F.lit(1)).otherwise(F.count(F.lit(1)))  # repeats of one key that all stay aren't merged
+    keys = found.groupBy("doc_id", "mark").agg(F.max("kept").alias("kept"), n.alias("n")).where("kept").select("doc_id", "mark", "n")
     return pick_rows(df, keys, doc_id, F.xxhash64(F.coalesce(F.col(text), F.lit(""))), Scratch(df.sparkSession, "jaccard-keep"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, n_words, uniform
+from .common import Scratch, carried, given, n_words, uniform
 
 WEIGHTS = (3, 1, 2)
 TOTAL = 1.5
@@ -46,16 +46,28 @@ def mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str =
     row exceeds ceil(rate) copies and reruns agree. Null text has size 0;
     null sources form one source; a source whose sizes are all 0 has rate 0;
     rows that share a doc_id share the draw. ``keep=False`` drops the other
-    columns. An empty table gives an empty result.
+    columns. Input columns named as those added are replaced. An empty table
+    gives an empty result.
     """
-    named = df.withColumns({"_size": n_words(F.col(text))}) if keep else df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("_size"))
-    id_, src = (doc_id, source) if keep else ("doc_id", "source")
+    out = _mixed(df, text, doc_id, source, weights, total, most, seed, keep)
+    own = given(df, *ADDED) if keep else [F.col("id").alias("doc_id"), "source"]
+    return out.select(*own, *ADDED)
+
+
+ADDED = ("_size", "_source_size", "_target", "_rate", "_copies")
+
+
+def _mixed(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = SEED, keep: bool = True) -> DataFrame:
+    """(id, source, row if kept) and the columns that ``mix`` adds."""
+    size = n_words(F.col(f"`{text}`")).alias("_size")
+    src = F.col(f"`{source}`").alias("source")
+    named = df.select(*[carried(df)] * keep, F.col(f"`{doc_id}`").alias("id"), src, size)
     scratch = Scratch(df.sparkSession, "mixing")
-    per = scratch.save(source_targets(df.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size")), weights, total, most), "targets")
+    per = scratch.save(source_targets(df.select(src, size.alias("size")), weights, total, most), "targets")
     per = per.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_rate"))
-    out = named.join(_small(per), named[src].eqNullSafe(per["_source"]), "left").drop("_source")
+    out = named.join(_small(per), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     whole = F.floor("_rate")
-    extra = (uniform(seed, F.col(id_)) < F.col("_rate") - whole).cast("long")
+    extra = (uniform(seed, F.col("id")) < F.col("_rate") - whole).cast("long")
     return out.withColumn("_copies", (whole + extra).cast("long"))
 
 
@@ -66,6 +78,5 @@ def _small(per: DataFrame, most_rows: int = 10_000) -> DataFrame:
 
 def repeat_rows(df: DataFrame, **options) -> DataFrame:
     """The mix itself: every row as often as it is taken, with the input's columns."""
-    out = mix(df, **options)
-    out = out.withColumn("_k", F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies")))))
-    return out.select(*[df[c] for c in df.columns])
+    out = _mixed(df, **options).where("_copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*given(df))

@@ -14,7 +14,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import carried, given, words
 
 #: A power of two.
 BINS = 1 << 16
@@ -70,10 +70,11 @@ def weights(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     if found > trusted:
         good = good.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 32)) < int((1 << 32) * trusted / found))
     good = good.withColumn("_good", F.lit(1))
-    slim = docs.select(F.col(doc_id).alias("_id"), words(F.col(text)).alias("_w"))
+    slim = docs.select(F.col(f"`{doc_id}`").alias("_id"), words(F.col(f"`{text}`")).alias("_w"))
     flagged = slim.join(F.broadcast(good), "_id", "left")
     pairs = flagged.select("_good", F.inline(F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, F.size("_w")).alias("b")))).toDF("_good", "a", "b")
-    pairs = pairs.select("_good", F.explode(F.array(_bin(F.col("a"), n=n), _bin(F.col("a"), F.col("b"), n=n))).alias("bin"))
+    pair = F.when(F.col("b").isNotNull(), _bin(F.col("a"), F.col("b"), n=n))  # the last word begins none
+    pairs = pairs.select("_good", F.explode(F.array(_bin(F.col("a"), n=n), pair)).alias("bin")).where("bin is not null")
     rows = pairs.groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.count("_good").alias("good")).collect()
     raw, target = sum(r.raw for r in rows), sum(r.good for r in rows)
     out = [0] * n
@@ -87,9 +88,9 @@ def score(w: Column, table: list[int]) -> Column:
     """Mean weight, in nats, of a text's n-grams: an exact integer sum over their number; 0 for a text without words."""
     # one constant that the optimizer folds, of as many integers as there are bins
     ratio, n = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>"), len(table)
-    each = F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.get(ratio, _bin(a, n=n)) + F.get(ratio, _bin(a, b, n=n)))
+    each = F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.get(ratio, _bin(a, n=n)) + F.when(b.isNotNull(), F.get(ratio, _bin(a, b, n=n))).otherwise(F.lit(0).cast("long")))
     total = F.aggregate(each, F.lit(0).cast("long"), lambda x, y: x + y)
-    return F.when(F.size(w) > 0, total / (F.size(w) * F.lit(2.0 * SCALE))).otherwise(F.lit(0.0))
+    return F.when(F.size(w) > 0, total / ((F.size(w) * 2 - 1) * F.lit(float(SCALE)))).otherwise(F.lit(0.0))
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = BINS, trusted: int = TRUSTED, threshold: float = THRESHOLD) -> DataFrame:
@@ -101,16 +102,20 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     of an added one are replaced. An empty table gives an empty result.
     """
     table = weights(docs, labels, text, doc_id, n, trusted)
-    df = base_measures(docs.withColumn("_w", words(F.col(text))), text)
-    df = df.withColumn("score", F.when(~F.col("base_failed"), score(F.col("_w"), table))).drop("_w")
-    return df.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("score"), F.lit(0.0)) >= threshold))
+    t = F.col(f"`{text}`")
+    df = base_measures(docs.select(carried(docs), t.alias("text"), words(t).alias("_w")))
+    df = df.withColumn("score", F.when(~F.col("base_failed"), score(F.col("_w"), table)))
+    df = df.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("score"), F.lit(0.0)) >= threshold))
+    return df.select(*given(docs, *ADDED), *ADDED)
+
+
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The input's rows, all columns, that ``judge`` keeps."""
     text, doc_id = options.pop("text", "text"), options.pop("doc_id", "doc_id")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # so that no column of the input meets one of the measures
-    out = judge(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row.alias("_document")), labels, **options)
+    out = judge(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), carried(docs, "document")), labels, **options)
     # a row number in the condition: else the optimizer moves the condition below the measures and writes them out again at each use
     out = out.withColumn("_row", F.monotonically_increasing_id())
-    return out.where(F.col("kept") & (F.col("_row") >= 0)).select("_document.*")
+    return out.where(F.col("kept") & (F.col("_row") >= 0)).select(*given(docs, name="document"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, carried, given
 
 #: Hosts up to which the joined table is broadcast; beyond, it is shuffled.
 SMALL = 50_000
@@ -49,7 +49,7 @@ def filter_urls(captures: DataFrame, log: DataFrame, url: str = "url", fetched:
     are judged alike; columns named as those added are replaced.
     """
     scratch = Scratch(captures.sparkSession, "url-filter")
-    df = captures.drop("_host", "_blocked", "_entry", "_since").withColumn("_host", host_of(F.col(url)))
+    df = captures.select(carried(captures), host_of(F.col(f"`{url}`")).alias("_host"), F.col(f"`{fetched}`").alias("at"))
     # entries meet hosts once for each distinct host; a host's intervals become one array
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -60,7 +60,8 @@ def filter_urls(captures: DataFrame, log: DataFrame, url: str = "url", fetched:
     if spans.limit(SMALL + 1).count() <= SMALL:
         spans = F.broadcast(spans)
     out = df.join(spans.withColumnRenamed("host", "_key"), F.col("_host") == F.col("_key"), "left").drop("_key")
-    t = F.col(fetched)
+    t = F.col("at")
     active = F.filter("_spans", lambda x: (x["since"] <= t) & (x["until"].isNull() | (t < x["until"])))
-    out = out.withColumn("_hit", F.element_at(F.when(F.size(active) > 0, active), -1)).drop("_spans")
-    return out.withColumns({"_blocked": F.col("_hit").isNotNull(), "_entry": F.col("_hit.entry"), "_since": F.col("_hit.since")}).drop("_hit")
+    out = out.withColumn("_hit", F.element_at(F.when(F.size(active) > 0, active), -1))
+    own = given(captures, "_host", "_blocked", "_entry", "_since")
+    return out.select(*own, "_host", F.col("_hit").isNotNull().alias("_blocked"), F.col("_hit.entry").alias("_entry"), F.col("_hit.since").alias("_since"))
