@@ -28,13 +28,30 @@ def price(s, k, t, r, sigma, q=0.0, call=True) -> np.ndarray:
 
 
 def greeks(s, k, t, r, sigma, q=0.0, call=True) -> dict[str, np.ndarray]:
-    """delta, gamma, vega (per point of volatility), theta (per day), rho (per point)."""
+    """delta, gamma, vega and rho (per unit), theta (per year), vanna and charm (changes of delta by volatility and by year).
+
+    Without time or volatility delta is 1, -1 or 0 by what the option ends as, the rest 0.
+    """
+    s, k, t, sigma, call = np.broadcast_arrays(*(np.asarray(x, float) for x in (s, k, t, sigma)), np.asarray(call, bool))
+    live, sign = ~((t <= 0) | (sigma <= 0)), np.where(call, 1.0, -1.0)
+    t, sigma = np.where(t > 0, t, 1.0), np.where(sigma <= 0, 1.0, sigma)
     root = sigma * np.sqrt(t)
     d1 = (np.log(s / k) + (r - q + sigma**2 / 2) * t) / root
-    d2, sign = d1 - root, np.where(call, 1.0, -1.0)
-    density, carry, disc = np.exp(-d1 * d1 / 2) / math.sqrt(2 * math.pi), np.exp(-q * t), np.exp(-r * t)
-    theta = -s * carry * density * sigma / (2 * np.sqrt(t)) + sign * (q * s * carry * _cdf(sign * d1) - r * k * disc * _cdf(sign * d2))
-    return {"delta": sign * carry * _cdf(sign * d1), "gamma": carry * density / (s * root), "vega": s * carry * density * np.sqrt(t) / 100, "theta": theta / 365, "rho": sign * k * t * disc * _cdf(sign * d2) / 100}
+    d2 = d1 - root
+    carry, disc = np.exp(-q * t), np.exp(-r * t)
+    spread = carry * np.exp(-d1 * d1 / 2) / math.sqrt(2 * math.pi)
+    in_spot, in_strike = sign * carry * _cdf(sign * d1), sign * k * disc * _cdf(sign * d2)
+    drift = spread * (2 * (r - q) * t - d2 * root) / (2 * t * root)
+    value = {
+        "gamma": spread / (s * root),
+        "vega": s * spread * np.sqrt(t),
+        "theta": -s * spread * sigma / (2 * np.sqrt(t)) + q * s * in_spot - r * in_strike,
+        "rho": t * in_strike,
+        "vanna": -spread * d2 / sigma,
+        "charm": q * in_spot - drift,
+    }
+    ended = np.where(call, (s > k).astype(float), -(s < k).astype(float))
+    return {"delta": np.where(live, in_spot, ended)} | {name: np.where(live, v, 0.0) for name, v in value.items()}
 
 
 def implied(value, s, k, t, r, q=0.0, call=True, lo: float = 1e-4, hi: float = 5.0) -> np.ndarray:
@@ -50,9 +67,9 @@ def implied(value, s, k, t, r, q=0.0, call=True, lo: float = 1e-4, hi: float = 5
 
 
 def with_greeks(chain: DataFrame, spot: Column, years: Column, rate: float = 0.04, mid: str = "mid") -> DataFrame:
-    """A chain (kind, strike, mid) with iv, delta, gamma, vega, theta and rho."""
+    """A chain (kind, strike, mid) with iv, delta, gamma, vega, theta, rho, vanna and charm."""
 
-    @F.pandas_udf("iv double, delta double, gamma double, vega double, theta double, rho double")
+    @F.pandas_udf("iv double, delta double, gamma double, vega double, theta double, rho double, vanna double, charm double")
     def value(kind: pd.Series, k: pd.Series, m: pd.Series, s: pd.Series, t: pd.Series) -> pd.DataFrame:
         call = (kind == "C").to_numpy()
         iv = implied(m, s, k, t, rate, 0.0, call)

@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import portfolios
+from tidemark.plans import chains, portfolios
 from tidemark.sources.bars import DAILY_SQL, HOURLY_SQL, SPARSE_SQL, daily_bars, hourly_bars, sparse_bars, table
 
 W = "PARTITION BY symbol ORDER BY time"
@@ -129,13 +129,20 @@ k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY seq DESC) AS r
     "crosscheck_sources": """
 WITH j AS (SELECT coalesce(b.time, s.time) AS time, b.close AS a, s.close AS c FROM (SELECT * FROM bars WHERE symbol = 'A') b FULL OUTER JOIN (SELECT time, avg(close) AS close FROM sparse GROUP BY time) s ON b.time = s.time)
 SELECT CAST(count(*) AS BIGINT) AS days, CAST(sum(CASE WHEN a IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS only_right, CAST(sum(CASE WHEN c IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS only_left, round(percentile(abs(a / c - 1) * 10000, 0.5), 4) AS median_bp, round(percentile(abs(a / c - 1) * 10000, 0.95), 4) AS p95_bp FROM j""",
-    "entity_prefix_match": "SELECT p_partkey, split(p_name, ' ')[0] AS lead_word, CAST(length(p_name) - length(replace(p_name, ' ', '')) + 1 AS BIGINT) AS n_words FROM part",
+    "entity_prefix_match": """
+WITH alias AS (SELECT * FROM (VALUES ('small', 'S', 'person'), ('small ring', 'SR', 'organisation'), ('red', 'R', 'organisation'), ('red widget', 'RW', 'person'), ('hot gear', 'HG', 'organisation'), ('hot gear', 'HP', 'person'), ('blue', 'B', 'organisation'), ('large', 'L', 'organisation')) AS a(name, entity, kind)),
+deny AS (SELECT * FROM (VALUES ('blue bolt'), ('large')) AS d(name)),
+lead AS (SELECT p_partkey, 1 AS n, split(p_name, ' ')[0] AS prefix FROM part UNION ALL SELECT p_partkey, 2 AS n, p_name AS prefix FROM part WHERE p_name LIKE '% %'),
+m AS (SELECT p_partkey, entity, kind, lead.prefix, row_number() OVER (PARTITION BY p_partkey ORDER BY n DESC, CASE WHEN kind = 'organisation' THEN 0 ELSE 1 END, entity) AS rk
+ FROM lead JOIN alias ON lower(lead.prefix) = alias.name WHERE NOT EXISTS (SELECT 1 FROM deny WHERE deny.name = lower(lead.prefix)))
+SELECT p_partkey, entity, kind, prefix FROM m WHERE rk = 1""",
     "last_bar_snapshot": f"""
 WITH s AS (SELECT symbol, time, close, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS n, avg(close) OVER ({W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS sma50, avg(close) OVER ({W} ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS sma200, max(high) OVER ({W} ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS hi52, min(low) OVER ({W} ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS lo52, volume / nullif(avg(volume) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS rvol FROM bars)
 SELECT symbol, CAST(time AS STRING) AS time, close, round(sma50, 6) AS sma50, round(sma200, 6) AS sma200, round(close / hi52 - 1, 6) AS off_high, round(close / lo52 - 1, 6) AS off_low, round(rvol, 6) AS rvol, CASE WHEN close > sma50 AND sma50 > sma200 THEN 'up' WHEN close < sma50 AND sma50 < sma200 THEN 'down' ELSE 'mixed' END AS trend FROM s WHERE n = 1""",
 }
 
 SQL |= portfolios.SQL
+SQL |= chains.chain_sql(CHAIN)
 SQL |= {
     "unusual_activity": f"""
 WITH {CHAIN}, m AS (SELECT expiry, kind, percentile(volume, 0.5) AS med FROM chain WHERE volume > 0 GROUP BY expiry, kind),
@@ -170,7 +177,7 @@ def _oracle(text: str) -> str:
     text = re.sub(r"datediff\((\w+(?:\.\w+)?), ((?:[^()]|\([^()]*(?:\([^()]*\))?[^()]*\))*?)\) AS", r"date_diff('day', \2, \1) AS", text)
     text = re.sub(r"CAST\(datediff\(f.time, f.seen\) AS BIGINT\)", "date_diff('day', f.seen, f.time)", text)
     text = text.replace("explode(sequence(lo, hi, INTERVAL 1 DAY))", "unnest(generate_series(lo, hi, INTERVAL 1 DAY))").replace("explode(sequence(min(day), max(day), INTERVAL 1 DAY))", "unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))")
-    text = text.replace("explode(sequence(0, 49))", "unnest(generate_series(0, 49))").replace("split(p_name, ' ')[0]", "split_part(p_name, ' ', 1)")
+    text = text.replace("explode(sequence(0, 49))", "unnest(generate_series(0, 49))").replace("explode(sequence(0, 240))", "unnest(generate_series(0, 240))").replace("explode(sequence(0, 80))", "unnest(generate_series(0, 80))").replace("split(p_name, ' ')[0]", "split_part(p_name, ' ', 1)")
     head = [f"{t} AS ({s})" for t, s in (("bars", DAILY_SQL), ("sparse", SPARSE_SQL), ("hourly", HOURLY_SQL)) if re.search(rf"\b{t}\b", text)]
     if not head:
         return text

@@ -31,7 +31,7 @@ def renko(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def point_figure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _day(recursive.rows_of(daily_bars(spark, sf_dir), recursive.point_figure, "col int, kind int, low int, high int, bar int", {"time": 4}), "time")
+    return _day(recursive.rows_of(daily_bars(spark, sf_dir), recursive.point_figure, "col int, kind int, low double, high double, boxes int, first int, last int", {"start": 5, "end": 6}), "start", "end")
 
 
 def state_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,12 +43,14 @@ def strategy_backtests(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = strategies.positions(daily_bars(spark, sf_dir))
     names = list(strategies.POSITIONS)
     long = pos.unpivot(["symbol", "time", "close"], names, "strategy", "position")
-    n = len(names)
-    weights = long.select(F.concat_ws("|", "strategy", "symbol").alias("symbol"), "time", "close", (F.col("position") / 3).alias("weight"), "strategy")
-    parts = strategies.simulate(weights.where("strategy = 'donchian'").drop("strategy")).withColumn("strategy", F.lit("donchian"))
-    for k in names[1:n]:
-        parts = parts.union(strategies.simulate(weights.where(F.col("strategy") == k).drop("strategy")).withColumn("strategy", F.lit(k)))
-    return parts.groupBy("strategy", F.year("time").cast("long").alias("year")).agg(F.round(F.sum("net"), 8).alias("net"), F.round(F.sum("turnover"), 8).alias("turnover"))
+    weights = long.crossJoin(F.broadcast(_count(pos)))  # one row
+    weights = weights.select("strategy", "symbol", "time", "close", (F.col("position") / F.col("n_symbols")).alias("weight"))
+    out = strategies.simulate(weights, by="strategy")
+    return out.groupBy("strategy", F.year("time").cast("long").alias("year")).agg(F.round(F.sum("net"), 8).alias("net"), F.round(F.sum("turnover"), 8).alias("turnover"))
+
+
+def _count(pos: DataFrame) -> DataFrame:
+    return pos.agg(F.count_distinct("symbol").alias("n_symbols"))
 
 
 def state_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +74,11 @@ def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = strategies.positions(daily_bars(spark, sf_dir))
     w = W.partitionBy("strategy", "symbol").orderBy("time")
     long = pos.unpivot(["symbol", "time", "close"], list(strategies.POSITIONS), "strategy", "position")
-    held = F.coalesce(F.lag("position").over(w), F.lit(0.0)) / 3
+    long = long.crossJoin(F.broadcast(_count(pos)))  # one row
+    held = F.coalesce(F.lag("position").over(w), F.lit(0.0)) / F.col("n_symbols")
     x = long.select("*", held.alias("held"), F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)).alias("move"))
     x = x.withColumn("traded", F.abs(F.col("held") - F.coalesce(F.lag("held").over(w), F.lit(0.0))))
-    names = ("A", "N", "R")  # the driver table's three flags
+    names = [r.symbol for r in pos.select("symbol").distinct().orderBy("symbol").collect()]  # the panel's symbols: one slot each
     slot = lambda c: F.array(*[F.coalesce(F.sum(F.when(F.col("symbol") == s, F.col(c))), F.lit(0.0)) for s in names])
     return x.groupBy("strategy", "time").agg(slot("held").alias("weights"), slot("move").alias("moves"), (F.sum(F.col("held") * F.col("move")) - F.sum("traded") * 5 / 1e4).alias("net"))
 
