@@ -64,3 +64,76 @@ def test_stream_equals_batch(spark, tmp_path):
     cols = ["symbol", "time", "open", "high", "low", "close", "volume"]
     batch = window_bars(e.withColumn("ts", F.col("ts").cast("timestamp")))
     assert sorted(map(tuple, spark.table("bars_out").select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
+
+
+def path(points, symbol="x", step=6):
+    """Bars along straight lines between points: open is the close before, wicks of 0.1."""
+    close = np.concatenate([np.linspace(a, b, step, endpoint=False) for a, b in zip(points, points[1:], strict=False)] + [[points[-1]]])
+    opens = np.concatenate([close[:1], close[:-1]])
+    return pd.DataFrame({"symbol": symbol, "time": pd.bdate_range("2020-01-01", periods=len(close)), "open": opens, "high": np.maximum(opens, close) + 0.1, "low": np.minimum(opens, close) - 0.1, "close": close, "volume": 1.0})
+
+
+def test_zigzag_on_a_planted_path():
+    found = recursive.zigzag(path([100, 130, 110, 140, 120, 150]))
+    assert [(round(price, 1), kind) for _, price, kind, _ in found] == [(99.9, -1), (130.1, 1), (109.9, -1), (140.1, 1), (119.9, -1)]
+    assert [at for at, *_ in found][1:] == [6, 12, 18, 24]
+
+
+def test_parabolic_stop_by_hand():
+    b = pd.DataFrame({"high": [10.0, 11, 12, 8], "low": [9.0, 10, 11, 7], "close": [9.5, 10.5, 11.5, 7.5]})
+    got = recursive.psar(b)
+    assert np.isnan(got["psar"][0]) and np.isnan(got["psar_trend"][0])
+    # up from 9 with best 10: 9.02 cut to 9; best 11, factor 0.04: 9.08 cut to 9; then 12, 0.06: 9.18, passed by the low: stop at 12
+    np.testing.assert_allclose(got["psar"][1:], [9.0, 9.0, 12.0])
+    assert got["psar_trend"][1:].tolist() == [1, 1, -1]
+    falling = recursive.psar(pd.DataFrame({"high": [10.0, 9], "low": [9.0, 8], "close": [9.5, 8.5]}))
+    assert falling["psar_trend"][1] == -1 and falling["psar"][1] == 10.0
+
+
+def test_point_figure_columns():
+    b = path([100, 110, 100, 112], step=10)
+    got = recursive.point_figure(b, n=1)
+    assert [k for _, k, *_ in got] == [1, -1, 1]
+    (_, _, low, high, boxes, first, last), down = got[0], got[1]
+    box = (high - low) / (boxes - 1)
+    assert last + 1 == down[5] and first >= 1 and down[3] == pytest.approx(high - box) and got[2][2] == pytest.approx(down[2] + box)
+
+
+def test_greeks_are_derivatives():
+    at = dict(s=100.0, k=95.0, t=0.5, r=0.03, sigma=0.3, q=0.01)
+    for call in (True, False):
+        g = options.greeks(**at, call=call)
+        value = lambda call=call, **change: options.price(**(at | change), call=call)
+        delta = lambda call=call, **change: options.greeks(**(at | change), call=call)["delta"]
+        slope = lambda f, name, h=1e-4: (f(**{name: at[name] + h}) - f(**{name: at[name] - h})) / (2 * h)
+        for name, want in (("delta", slope(value, "s")), ("vega", slope(value, "sigma")), ("theta", -slope(value, "t")), ("rho", slope(value, "r")), ("gamma", slope(delta, "s")), ("vanna", slope(delta, "sigma")), ("charm", -slope(delta, "t"))):
+            assert g[name] == pytest.approx(want, rel=1e-4, abs=1e-7), name
+    ended = options.greeks([105.0, 90.0], 100.0, 0.0, 0.03, 0.3, call=False)
+    assert ended["delta"].tolist() == [0.0, -1.0] and ended["gamma"].tolist() == [0.0, 0.0]
+
+
+def test_heikin_ashi_by_hand():
+    got = recursive.heikin_ashi(pd.DataFrame({"open": [1.0, 2], "high": [3.0, 4], "low": [1.0, 2], "close": [2.0, 3]}))
+    assert got["ha_close"].tolist() == [1.75, 2.75] and got["ha_open"].tolist() == [1.5, 1.625]
+    assert got["ha_high"].tolist() == [3.0, 4.0] and got["ha_low"].tolist() == [1.0, 1.625]
+
+
+def test_chart_patterns_on_planted_paths(spark):
+    from tidemark.plans import patterns
+
+    plans = {
+        "double": [100, 130, 115, 130, 90],
+        "bottom": [130, 100, 115, 100, 140],
+        "head": [90, 120, 108, 135, 108, 120, 85],
+        "triple": [90, 125, 110, 125, 110, 125, 85],
+        "rising": [90, 120, 100, 120, 106, 120, 112, 135],
+    }
+    bars = pd.concat([path(points, name) for name, points in plans.items()])
+    got = patterns.chart_patterns(spark.createDataFrame(bars)).collect()
+    sure = {(x.symbol, x.pattern): x for x in got if x.status == "confirmed"}
+    assert {("double", "double_top"), ("bottom", "double_bottom"), ("head", "head_shoulders"), ("triple", "triple_top"), ("rising", "ascending_triangle")} <= set(sure)
+    x = sure["double", "double_top"]
+    assert (x.bias, x.direction, x.first, x.last) == (-1, -1, 6, 18)
+    assert x.breakout == pytest.approx(114.9) and x.target == pytest.approx(114.9 - 15.2) and x.invalidation == pytest.approx(130.1)
+    assert all(x.detected <= x.resolved for x in got if x.resolved is not None)
+    assert sure["bottom", "double_bottom"].direction == 1 and sure["rising", "ascending_triangle"].direction == 1

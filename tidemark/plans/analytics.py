@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import chains, portfolios
+from tidemark.plans import chains, portfolios, studies
 from tidemark.sources.bars import DAILY_SQL, HOURLY_SQL, SPARSE_SQL, daily_bars, hourly_bars, sparse_bars, table
 
 W = "PARTITION BY symbol ORDER BY time"
@@ -143,6 +143,7 @@ SELECT symbol, CAST(time AS STRING) AS time, close, round(sma50, 6) AS sma50, ro
 
 SQL |= portfolios.SQL
 SQL |= chains.chain_sql(CHAIN)
+SQL |= studies.SQL
 SQL |= {
     "unusual_activity": f"""
 WITH {CHAIN}, m AS (SELECT expiry, kind, percentile(volume, 0.5) AS med FROM chain WHERE volume > 0 GROUP BY expiry, kind),
@@ -173,6 +174,8 @@ def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _oracle(text: str) -> str:
+    for ours, theirs in studies.SPELT.items():
+        text = text.replace(ours, theirs)
     text = re.sub(r"(?<![\w.])(-?\d+(?:\.\d+)?)D\b", r"CAST(\1 AS DOUBLE)", text).replace("percentile(", "quantile_cont(").replace(" AS STRING)", " AS VARCHAR)").replace("unix_date(", "date_diff('day', DATE '1970-01-01', ")
     text = re.sub(r"datediff\((\w+(?:\.\w+)?), ((?:[^()]|\([^()]*(?:\([^()]*\))?[^()]*\))*?)\) AS", r"date_diff('day', \2, \1) AS", text)
     text = re.sub(r"CAST\(datediff\(f.time, f.seen\) AS BIGINT\)", "date_diff('day', f.seen, f.time)", text)
