@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,18 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def one_blas_thread() -> None:
+    """A task has one core: keep numpy's matrix products in it, where the library it came with lets that be set.
+
+    Products of small matrices on two threads took twice the CPU time, most of it waiting.
+    """
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def carried(df: DataFrame, name: str = "row") -> Column:
     """The caller's row as one struct, so that none of its columns meets a helper's, whatever their names."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import chunks
-from .common import Scratch, components, pick_rows
+from .common import Scratch, components, one_blas_thread, pick_rows
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -218,6 +218,7 @@ def jaccard_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
     blocks = _in_blocks(weighed.join(grams, "node"), F.col("blocks"), "node", ["root"]).drop("blocks")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         for g in _groups(batches, ["root", "i", "j"]):
             i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
             g = g.sort_by("own")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import chunks
-from .common import Scratch
+from .common import Scratch, one_blas_thread
 
 BINS = 1 << 16
 CLASSES, OWN = 128, 96
@@ -90,7 +90,9 @@ class Network:
         self.bias -= p.sum(axis=0)
         self.w -= x.T @ d
         self.b -= d.sum(axis=0)
-        np.subtract.at(self.embed, around, dx)
+        seen, dx = around.ravel(), np.ascontiguousarray(dx.reshape(-1, WIDTH).T)
+        for k in range(WIDTH):
+            self.embed[:, k] -= np.bincount(seen, dx[k], minlength=CLASSES + 1)
 
 
 def windows(classes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -156,6 +158,7 @@ def fit_model(encoded: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) ->
         start = encoded.sparkSession.sparkContext.broadcast(weights)
 
         def train(batches: Iterator[pa.RecordBatch], start=start, k=k) -> Iterator[pa.RecordBatch]:
+            one_blas_thread()
             net, seen, around, target = Network(start.value), 0, [], []
             held_n = 0
 
@@ -209,6 +212,7 @@ def lm_score(df: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds:
     held = df.sparkSession.sparkContext.broadcast((class_of, within, weights))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         class_of, within, weights = held.value
         net = Network(weights)
         for b in batches:
