@@ -67,8 +67,11 @@ class Network:
 
     def _forward(self, around: np.ndarray):
         x = self.embed[around].reshape(len(around), -1)
-        h = np.tanh(x @ self.w + self.b)
-        z = h @ self.out + self.bias
+        h = x @ self.w
+        h += self.b
+        np.tanh(h, out=h)
+        z = h @ self.out
+        z += self.bias
         z -= z.max(axis=1, keepdims=True)
         return x, h, z
 
@@ -79,18 +82,19 @@ class Network:
 
     def fit(self, around: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
         """One step of gradient descent on a batch."""
-        x, h, z = self._forward(around)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(target)), target] -= 1
-        p *= rate / len(target) * 8
-        d = (p @ self.out.T) * (1 - h * h)
-        dx = (d @ self.w.T).reshape(len(around), 2 * SIDE, WIDTH)
+        x, h, p = self._forward(around)
+        step = np.float32(rate / len(target) * 8)
+        np.exp(p, out=p)
+        p *= (step / p.sum(axis=1))[:, None]
+        p[np.arange(len(target)), target] -= step
+        d = p @ self.out.T
+        d *= 1 - h * h
+        dx = d @ self.w.T
         self.out -= h.T @ p
         self.bias -= p.sum(axis=0)
         self.w -= x.T @ d
         self.b -= d.sum(axis=0)
-        seen, dx = around.ravel(), np.ascontiguousarray(dx.reshape(-1, WIDTH).T)
+        seen, dx = around.ravel(), dx.reshape(-1, WIDTH).T.astype(float)
         for k in range(WIDTH):
             self.embed[:, k] -= np.bincount(seen, dx[k], minlength=CLASSES + 1)
 
