@@ -275,7 +275,7 @@ def _families(r):
 
 @pytest.mark.parametrize("block", [2, 2048])
 def test_line_dedup_against_edit_similarity(spark, monkeypatch, block):
-    """Of links by edit similarity alone, with edits strewn over the line, 0.7 at least are found (0.99 of those in the test tables), and groups are what these connect."""
+    """Of links by edit similarity alone, with edits strewn over the line, 0.7 at least are found (0.98 of those in the test tables), and groups are what these connect."""
     monkeypatch.setattr(line_dedup, "LINE_BLOCK", block)
     lines = _families(np.random.default_rng(9))
     lines = np.random.default_rng(1).permutation(lines).tolist()
