@@ -108,7 +108,13 @@ def test_jaccard_join_against_all_pairs(spark):
     grams = [set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for t in texts]
     links = [sum(j != i and len(a & b) / len(a | b) >= 0.8 for j, b in enumerate(grams)) for i, a in enumerate(grams)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert [x.n_links for x in sorted(jaccard_join.jaccard_join(df).collect())] == links
+    got = sorted(jaccard_join.jaccard_join(df).collect())
+    assert [x.n_links for x in got] == links
+    near = [[j for j, b in enumerate(grams) if len(a & b) / len(a | b) >= 0.8] for a in grams]
+    least = list(range(len(grams)))
+    for _ in grams:
+        least = [min(least[j] for j in js) for js in near]
+    assert [x.class_id for x in got] == least and [x.kept for x in got] == [i == c for i, c in enumerate(least)]
 
 
 def test_components(spark):
@@ -379,6 +385,26 @@ def test_links_across_blocks():
     assert (across == (whole & (own[:, None] != own[None, :]))).all()
 
 
+def test_links_from_differences():
+    """Sets given by what they differ in from a head, and sets given whole, have the same links as whole sets."""
+    rng = np.random.default_rng(8)
+    head = np.unique(rng.integers(0, 1 << 62, 50).astype(np.uint64))
+    pool = np.unique(rng.integers(0, 1 << 62, 12).astype(np.uint64))
+    sets = [np.unique(np.concatenate([rng.permutation(head)[: 50 - int(rng.integers(0, 9))], rng.permutation(pool)[: int(rng.integers(0, 9))]])) for _ in range(40)]
+    given, minus, common = [], [], []
+    for i, s in enumerate(sets):
+        lacks = np.setdiff1d(head, s)
+        common.append(len(head) - len(lacks))
+        minus.append(-1 if i % 7 == 3 else len(lacks))
+        given.append(s if i % 7 == 3 else np.concatenate([lacks, np.setdiff1d(s, head)]))
+    want = np.array([[i != j and len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.8 for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    assert want.any() and not want.all()
+    assert (jaccard_join._links(given, 0.8, None, np.array(minus), np.array(common), len(head)) == want).all()
+    own = np.arange(40) < 15
+    across = jaccard_join._links(given, 0.8, 15, np.array(minus), np.array(common), len(head))
+    assert (across == (want & (own[:, None] != own[None, :]))).all()
+
+
 def test_links_with_an_empty_block(spark, monkeypatch):
     """Clusters of 3 and 4 sets that their bytes split into blocks, some of them empty: each link counts once."""
     sets = [np.arange(60, dtype=np.uint64)] * 3

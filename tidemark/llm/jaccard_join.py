@@ -7,8 +7,10 @@
    posterior probability that its similarity reaches the threshold falls below
    the tolerance. What is left only has to connect, so a bucket gives a
    spanning forest, never its pairs.
-3. Within each connected cluster all pairs of classes are verified exactly on
-   their sets, in blocks; each block gives link counts and a spanning forest.
+3. Within each connected cluster all pairs of classes are verified exactly, in
+   blocks; each block gives link counts and a spanning forest. A set travels as
+   its difference from one set of the cluster, which for near copies is small;
+   intersections follow from the differences without loss.
 
 Buckets and clusters larger than a block (of rows or bytes) are compared block
 by block, so that no task holds a whole group.
@@ -185,7 +187,11 @@ def jaccard_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
 
     # candidates: classes in a bucket with others, cut to what Bayesian pruning leaves connected
     bands = classes.select("node", F.posexplode("sig").alias("band", "key"))
-    full = scratch.save(bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    # bands under which the same classes meet tell nothing new: one of them stays, known by count, sum and exclusive or of its members' hashes
+    who = F.xxhash64("node")
+    alike_ = [F.count(F.lit(1)).alias("n"), F.sum(who.cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), who)).alias("xor")]
+    full = bands.groupBy("band", "key").agg(*alike_).where("n > 1").groupBy("n", "sum", "xor").agg(F.min(F.struct("band", "key")).alias("at"))
+    full = scratch.save(full.select("at.band", "at.key", "n"), "buckets")
     met = scratch.save(bands.join(full, ["band", "key"]), "met")
     dealt = _in_blocks(met.join(classes.select("node", "sig"), "node"), F.col("n") / F.lit(BUCKET_BLOCK), "node", ["band", "key"]).drop("n")
 
@@ -201,21 +207,35 @@ def jaccard_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
     clusters = scratch.save(components(edges, scratch, "near"), "clusters")
     scratch.drop("met", "edges")
 
-    # exact verification of all pairs within each cluster
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    wanted = clusters.join(classes.select("node", "first.doc_id", "first.mark"), "node").select("doc_id", "mark").distinct()
-    texts = slim.join(scratch.save(wanted, "wanted").withColumnsRenamed({"doc_id": "w_id", "mark": "w_mark"}), F.col("mark").eqNullSafe(F.col("w_mark")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
+    # exact verification of all pairs within each cluster, on differences from the set of its root
+    wanted = clusters.join(classes.select("node", "size", "first.doc_id", "first.mark"), "node")
+    wanted = scratch.save(wanted.withColumnsRenamed({"doc_id": "w_id", "mark": "w_mark"}), "wanted")
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text", CHUNK_BYTES):
-            sets = shingles(b.column("text"), k)
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "grams"])
+    def texts_of(some: DataFrame) -> DataFrame:
+        return slim.join(some, F.col("mark").eqNullSafe(F.col("w_mark")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
 
-    grams = scratch.save(texts.select("text").mapInArrow(sets_of, "node binary, grams binary").groupBy("node").agg(F.first("grams").alias("grams")), "grams")
-    members = scratch.save(clusters.join(sizes, "root").join(classes.select("node", "size"), "node"), "members")
-    weights = members.join(grams.select("node", F.length("grams").alias("own_bytes")), "node").groupBy("root").agg(F.sum("own_bytes").alias("bytes"))
-    weighed = members.join(weights, "root").withColumn("blocks", F.greatest(F.col("n") / F.lit(VERIFY_BLOCK), F.col("bytes") / F.lit(VERIFY_BYTES))).select("root", "node", "size", "blocks")
-    blocks = _in_blocks(weighed.join(grams, "node"), F.col("blocks"), "node", ["root"]).drop("blocks")
+    heads = texts_of(wanted.where("node = root")).select("root", F.col("text").alias("head"))
+    pairs = texts_of(wanted).select("root", "node", "size", "text").join(heads.dropDuplicates(["root"]), "root")
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, head = None, np.array([], np.uint64)
+        for b in chunks(batches, "text", CHUNK_BYTES):
+            out: dict[str, list] = {c: [] for c in ("grams", "minus", "common", "n_head")}
+            for at, own in enumerate(shingles(b.column("text"), k)):
+                if (name := b.column("root")[at].as_py()) != root:
+                    root, head = name, shingles(b.column("head").slice(at, 1), k)[0]
+                shared = np.isin(own, head, assume_unique=True)
+                minus = np.setdiff1d(head, own, assume_unique=True)
+                near = len(minus) <= int(shared.sum())  # else the set itself is shorter than its difference
+                for c, x in zip(out, (np.concatenate([minus, own[~shared]]) if near else own, len(minus) if near else -1, int(shared.sum()), len(head)), strict=True):
+                    out[c].append(x.tobytes() if c == "grams" else x)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("root", "node", "size")), pa.array(out["grams"], pa.binary()), *(pa.array(out[c], pa.int64()) for c in ("minus", "common", "n_head"))], ["root", "node", "size", *out])
+
+    schema = "root binary, node binary, size long, grams binary, minus long, common long, n_head long"
+    diffs = scratch.save(pairs.mapInArrow(differ, schema).dropDuplicates(["node"]), "diffs")  # rows that repeat an id and text give one
+    sizes = diffs.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("grams")).alias("bytes"))
+    sizes = sizes.select("root", F.greatest(F.col("n") / F.lit(VERIFY_BLOCK), F.col("bytes") / F.lit(VERIFY_BYTES)).alias("blocks"))
+    blocks = _in_blocks(diffs.join(sizes, "root"), F.col("blocks"), "node", ["root"]).drop("blocks")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_blas_thread()
@@ -223,7 +243,8 @@ def jaccard_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
             i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
             g = g.sort_by("own")
             first = int((g.column("own").to_numpy() == i).sum()) if i != j else None
-            link = _links([np.frombuffer(x, np.uint64) for x in g.column("grams").to_pylist()], threshold, first)
+            minus, common, n_head = (g.column(c).to_numpy() for c in ("minus", "common", "n_head"))
+            link = _links([np.frombuffer(x, np.uint64) for x in g.column("grams").to_pylist()], threshold, first, minus, common, n_head[0])
             node, size = g.column("node").to_pylist(), g.column("size").to_numpy()
             counts = link @ size
             ok = np.flatnonzero(counts)
@@ -231,7 +252,7 @@ def jaccard_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
             yield pa.RecordBatch.from_arrays([pa.array([node[x] for x in ok] + [node[x] for x, _ in found], pa.binary()), pa.array([None] * len(ok) + [node[y] for _, y in found], pa.binary()), pa.array(counts[ok].tolist() + [0] * len(found), pa.int64())], ["a", "b", "n"])
 
     verified = scratch.save(blocks.mapInArrow(verify, "a binary, b binary, n long"), "verified")
-    scratch.drop("grams", "members")
+    scratch.drop("wanted", "diffs")
     links = verified.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     groups = scratch.save(components(verified.where("b is not null").select("a", "b"), scratch, "linked"), "groups")
     heads = scratch.save(groups.join(classes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("head")), "heads")
@@ -245,29 +266,41 @@ def jaccard_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
     return linked.union(bare)
 
 
-def _links(sets: list[np.ndarray], threshold: float, first: int | None = None) -> np.ndarray:
+def _links(sets: list[np.ndarray], threshold: float, first: int | None = None, minus: np.ndarray | None = None, common: np.ndarray | None = None, n_head: int = 0) -> np.ndarray:
     """Which pairs of sets reach the threshold, exactly: intersections are counted gram by gram.
 
     With ``first``, only pairs of one of the first so many sets and one of the rest; none if either is empty.
+    Where ``minus`` is not negative, the set is given by its difference from a
+    head of ``n_head`` grams, ``common`` of which it has: first the grams of
+    the head that it lacks, so many, then those that the head lacks. A gram
+    lacked counts as -1 in the product, which corrects the part that the heads
+    give: both sets' common grams less the head's for two such sets, the other
+    set's common grams for one.
     """
     n = len(sets)
     if first is not None and not 0 < first < n:
         return np.zeros((n, n), bool)
-    size = np.array([len(s) for s in sets])
+    held = np.array([len(s) for s in sets])
+    lacked = np.full(n, -1) if minus is None else minus
+    by_head, lacks = lacked >= 0, np.maximum(lacked, 0)
+    common = np.zeros(n, np.int64) if common is None else common
+    size = held - lacks + np.where(by_head, common, 0)
     values, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), size)
+    row = np.repeat(np.arange(n), held)
+    sign = np.where(np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held) < lacks[row], -1, 1)
     shared = df > 1  # a gram of one set adds to no intersection
     name = np.cumsum(shared) - 1
     ok = shared[code]
-    row, col = row[ok], name[code[ok]]
+    row, col, sign = row[ok], name[code[ok]], sign[ok]
     order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
+    row, col, sign = row[order], col[order], sign[order]
     one, two = (slice(0, n), slice(0, n)) if first is None else (slice(0, first), slice(first, n))
-    both = np.zeros((one.stop, n - two.start))
+    x_by, y_by, x_common, y_common = by_head[one][:, None], by_head[two][None, :], common[one][:, None], common[two][None, :]
+    both = np.where(x_by & y_by, x_common + y_common - n_head, np.where(x_by, y_common, np.where(y_by, x_common, 0))).astype(np.float64)
     for at in range(0, int(shared.sum()), 4096):
         x, y = np.searchsorted(col, [at, at + 4096])
         dense = np.zeros((n, 4096), np.float32)
-        dense[row[x:y], col[x:y] - at] = 1
+        dense[row[x:y], col[x:y] - at] = sign[x:y]
         both += dense[one] @ dense[two].T
     near = both >= threshold * (size[one][:, None] + size[two][None, :] - both) - 1e-9
     if first is None:
