@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import chains, portfolios, studies
+from tidemark.plans import chains, portfolios, reports, studies
 from tidemark.sources.bars import DAILY_SQL, HOURLY_SQL, SPARSE_SQL, daily_bars, hourly_bars, sparse_bars, table
 
 W = "PARTITION BY symbol ORDER BY time"
@@ -144,6 +144,7 @@ SELECT symbol, CAST(time AS STRING) AS time, close, round(sma50, 6) AS sma50, ro
 SQL |= portfolios.SQL
 SQL |= chains.chain_sql(CHAIN)
 SQL |= studies.SQL
+SQL |= reports.SQL
 SQL |= {
     "unusual_activity": f"""
 WITH {CHAIN}, m AS (SELECT expiry, kind, percentile(volume, 0.5) AS med FROM chain WHERE volume > 0 GROUP BY expiry, kind),
