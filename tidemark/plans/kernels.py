@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import options, recursive, strategies, text, validation
+from tidemark.operators import calls, options, recursive, strategies, text, validation
+from tidemark.plans import parity
 from tidemark.plans.indicators import PLANS
 from tidemark.sources.bars import DAILY_SQL, daily_bars, table
 
@@ -143,6 +144,24 @@ def option_greeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return options.with_greeks(chain.withColumn("mid", intrinsic + 40.0), F.lit(950.0), F.lit(0.5))
 
 
+#: Words of the driver's invented texts in place of a call's: what a sentence of guidance names, and which way.
+_CALL = {"withdraw": r"\bnever\b", "raise": r"\band\b", "lower": r"\bof\b", "reaffirm": r"\bin\b"}
+
+
+def guidance_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls.guidance(table(spark, sf_dir, "documents"), "text", "doc_id", r"\bthe\b", _CALL)
+
+
+def call_text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    out = calls.call_metrics(d, "text", "doc_id", {"the": r"\bthe\b", "le": r"\ble\w*", "number": r"\d+"}, r"\b(and|der)\b", r"\n")
+    return out.select("doc_id", "n_words", "fls_per1k", "fls_sentence_share", "qa_share", *[F.col("topics")[k].alias(f"n_{k}") for k in ("the", "le", "number")])
+
+
+def risk_parity_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity.risk_parity(daily_bars(spark, sf_dir))
+
+
 _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '([A-Za-z][A-Za-z''\\-]*)')"
 _POS = "(t IN ('the', 'and') OR starts_with(t, 'le'))"
 _TURNED = "len(list_intersect(ts[greatest(i - 3, 1):i - 1], ['in', 'un'])) > 0"
@@ -161,4 +180,4 @@ SELECT signal, sig_f.horizon, count(*) AS n, round(avg(CASE WHEN r > 0 THEN 1.0:
 FROM (SELECT sig.symbol, signal, horizon, r FROM sig JOIN fwd ON sig.symbol = fwd.symbol AND sig.time = fwd.time WHERE r IS NOT NULL) sig_f JOIN base ON sig_f.symbol = base.symbol AND sig_f.horizon = base.horizon GROUP BY 1, 2""",
 }
 
-QUERIES = {f.__name__: f for f in (state_columns, state_signals, strategy_significance, zigzag, renko, point_figure, state_strategies, strategy_backtests, scorecard_native, token_tone, headline_slug, page_text, sentence_counts, novelty_cosine, headline_dedupe, option_greeks)}
+QUERIES = {f.__name__: f for f in (guidance_direction, call_text_metrics, risk_parity_weights, state_columns, state_signals, strategy_significance, zigzag, renko, point_figure, state_strategies, strategy_backtests, scorecard_native, token_tone, headline_slug, page_text, sentence_counts, novelty_cosine, headline_dedupe, option_greeks)}
