@@ -212,7 +212,8 @@ def jaccard_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: i
     wanted = scratch.save(wanted.withColumnsRenamed({"doc_id": "w_id", "mark": "w_mark"}), "wanted")
 
     def texts_of(some: DataFrame) -> DataFrame:
-        return slim.join(some, F.col("mark").eqNullSafe(F.col("w_mark")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+        # the keys grow with the input: never broadcast, the same plan at every size
+        return slim.join(some.hint("merge"), F.col("mark").eqNullSafe(F.col("w_mark")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
 
     heads = texts_of(wanted.where("node = root")).select("root", F.col("text").alias("head"))
     pairs = texts_of(wanted).select("root", "node", "size", "text").join(heads.dropDuplicates(["root"]), "root")
