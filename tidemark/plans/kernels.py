@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import calls, options, recursive, strategies, text, validation
-from tidemark.plans import parity
+from tidemark.plans import parity, phases
 from tidemark.plans.indicators import PLANS
 from tidemark.sources.bars import DAILY_SQL, daily_bars, table
 
@@ -162,6 +162,16 @@ def risk_parity_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity.risk_parity(daily_bars(spark, sf_dir))
 
 
+def wyckoff_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _day(phases.wyckoff(daily_bars(spark, sf_dir)), "time")
+
+
+def pair_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spread of the first two return flags' bars."""
+    out = _day(phases.pairs(daily_bars(spark, sf_dir), "A", "N"), "time")
+    return out.select("a", "b", "time", "side", *[F.round(c, 6).alias(c) for c in ("z", "weight_a", "weight_b")])
+
+
 _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '([A-Za-z][A-Za-z''\\-]*)')"
 _POS = "(t IN ('the', 'and') OR starts_with(t, 'le'))"
 _TURNED = "len(list_intersect(ts[greatest(i - 3, 1):i - 1], ['in', 'un'])) > 0"
@@ -180,4 +190,4 @@ SELECT signal, sig_f.horizon, count(*) AS n, round(avg(CASE WHEN r > 0 THEN 1.0:
 FROM (SELECT sig.symbol, signal, horizon, r FROM sig JOIN fwd ON sig.symbol = fwd.symbol AND sig.time = fwd.time WHERE r IS NOT NULL) sig_f JOIN base ON sig_f.symbol = base.symbol AND sig_f.horizon = base.horizon GROUP BY 1, 2""",
 }
 
-QUERIES = {f.__name__: f for f in (guidance_direction, call_text_metrics, risk_parity_weights, state_columns, state_signals, strategy_significance, zigzag, renko, point_figure, state_strategies, strategy_backtests, scorecard_native, token_tone, headline_slug, page_text, sentence_counts, novelty_cosine, headline_dedupe, option_greeks)}
+QUERIES = {f.__name__: f for f in (wyckoff_phase, pair_positions, guidance_direction, call_text_metrics, risk_parity_weights, state_columns, state_signals, strategy_significance, zigzag, renko, point_figure, state_strategies, strategy_backtests, scorecard_native, token_tone, headline_slug, page_text, sentence_counts, novelty_cosine, headline_dedupe, option_greeks)}
