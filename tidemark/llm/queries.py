@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, line_dedup, lm_score, mixing, quality, sharding, token_files, url_filter
+from . import bpe, exact_dedup, jaccard_join, line_dedup, lm_score, mixing, quality, sharding, token_files, treap_search, url_filter
 from .common import Scratch
 
 
@@ -85,12 +85,18 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_score(_table(spark, sf_dir, "documents"))
 
 
+def op11_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op2_line_dedup, op3_sharding, op4_quality, op5_mixing, op6_url_filter, op7_jaccard_join, op8_token_files, op9_exact_dedup, op10_lm_score)
+    own = (op1_byte_bpe, op2_line_dedup, op3_sharding, op4_quality, op5_mixing, op6_url_filter, op7_jaccard_join, op8_token_files, op9_exact_dedup, op10_lm_score, op11_treap_search)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
+    fold = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    term = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
     log = ", ".join(f"('{e}', '{a}', TIMESTAMP '{t}')" for e, a, t in URL_LOG)
     return {
         "op5_mixing": f"""
@@ -119,4 +125,13 @@ FROM c LEFT JOIN (SELECT * FROM hit WHERE k = 1) h ON c.page_id = h.page_id""",
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM d WINDOW g AS (PARTITION BY t)""",
+        "op11_treap_search": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all({fold}, '{term}') AS terms FROM documents),
+p AS (SELECT k, any_value(doc_id) AS doc_id, term, count(*)::BIGINT AS tf, any_value(len(terms))::BIGINT AS n FROM (SELECT k, doc_id, terms, unnest(terms) AS term FROM d) GROUP BY k, term),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+q AS (SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest(regexp_extract_all({fold}, '{term}')) AS term FROM benchmark) GROUP BY item_id, term),
+w AS (SELECT term, floor(1000 * ln(any_value(2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term),
+s AS (SELECT item_id, k, any_value(doc_id) AS doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // total))))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN p USING (term), c GROUP BY item_id, k)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
     }
