@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, line_dedup, lm_score, mixing, quality, sharding, token_files, treap_search, url_filter
+from . import bpe, crf_language, exact_dedup, jaccard_join, line_dedup, lm_score, mixing, quality, sharding, spelling, token_files, treap_search, url_filter
 from .common import Scratch
 
 
@@ -89,8 +89,20 @@ def op11_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treap_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crf_language.held_out(F.col("doc_id"))
+    tagger = crf_language.learn(docs.where(~held_out & F.col("doc_id").isNotNull()))
+    out = crf_language.tag(docs.drop("lang"), tagger, runs=False)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.round("score", 6).alias("score"), "n_words")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.corpus_words(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op2_line_dedup, op3_sharding, op4_quality, op5_mixing, op6_url_filter, op7_jaccard_join, op8_token_files, op9_exact_dedup, op10_lm_score, op11_treap_search)
+    own = (op1_byte_bpe, op2_line_dedup, op3_sharding, op4_quality, op5_mixing, op6_url_filter, op7_jaccard_join, op8_token_files, op9_exact_dedup, op10_lm_score, op11_treap_search, op12_language_crf, op13_spelling_variants)
     return {f.__name__: f for f in own}
 
 
