@@ -85,10 +85,6 @@ SELECT symbol, CAST(time AS STRING) AS time, round(mom, 6) AS mom, CASE WHEN rk
     "inverse_vol_weights": f"""
 WITH {RET}, v AS (SELECT symbol, time, CASE WHEN count(r) OVER ({W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) = 60 THEN stddev_samp(r) OVER ({W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) END AS vol FROM rets)
 SELECT symbol, CAST(time AS STRING) AS time, round((1 / vol) / sum(1 / vol) OVER (PARTITION BY time), 6) AS weight FROM v WHERE vol > 0""",
-    "bh_adjust": f"""
-WITH {RET}, g AS (SELECT symbol, CAST(year(time) AS BIGINT) AS y, avg(r) / (stddev_samp(r) / sqrt(CAST(count(r) AS DOUBLE))) AS t FROM rets WHERE r IS NOT NULL GROUP BY 1, 2), p AS (SELECT *, exp(-0.717D * abs(t) - 0.416D * t * t) AS p FROM g),
-k AS (SELECT *, row_number() OVER (ORDER BY p, symbol, y) AS rk, count(*) OVER () AS m FROM p)
-SELECT symbol, y, round(t, 6) AS t, round(p, 8) AS p, round(least(1D, min(p * m / rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 8) AS p_adjusted FROM k""",
     "cot_index": f"""
 WITH {COT}, x AS (SELECT *, count(net) OVER ({W} ROWS BETWEEN 155 PRECEDING AND CURRENT ROW) AS n, min(net) OVER ({W} ROWS BETWEEN 155 PRECEDING AND CURRENT ROW) AS lo, max(net) OVER ({W} ROWS BETWEEN 155 PRECEDING AND CURRENT ROW) AS hi, avg(net) OVER ({W} ROWS BETWEEN 155 PRECEDING AND CURRENT ROW) AS mu, stddev_samp(net) OVER ({W} ROWS BETWEEN 155 PRECEDING AND CURRENT ROW) AS sd FROM cot)
 SELECT symbol, CAST(time AS STRING) AS time, net, round(net - lag(net) OVER ({W}), 6) AS change, round(100 * net / nullif(oi, 0), 6) AS pct_oi, round(CASE WHEN n >= 26 THEN 100 * (net - lo) / nullif(hi - lo, 0) END, 6) AS cot_index, round(CASE WHEN n >= 26 THEN (net - mu) / nullif(sd, 0) END, 6) AS z FROM x""",

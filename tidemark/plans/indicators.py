@@ -17,9 +17,9 @@ def span(n: int) -> float:
     return 2 / (n + 1)
 
 
-def mad(x: str, n: int) -> str:
-    """Mean absolute deviation about the window's own mean."""
-    mean = f"avg({x}) OVER {frame(1 - n, 0)}"
+def mad(x: str, n: int, mean: str = "") -> str:
+    """Sum of absolute deviations of the window's values from its own mean, or from a column that holds that."""
+    mean = mean or f"avg({x}) OVER {frame(1 - n, 0)}"
     return " + ".join(f"abs({x if not k else lag(x, k)} - ({mean}))" for k in range(n))
 
 
@@ -230,14 +230,14 @@ def signal_plan() -> Plan:
         },
         {
             "u": f"CASE WHEN c1 IS NOT NULL THEN {UP} END", "dn": f"CASE WHEN c1 IS NOT NULL THEN {DOWN} END", "d": sma("k", 3), "willr": "k - 100", "t1": lag("tp"),
-            "upper": "bb_mid + 2 * bb_sd", "lower": "bb_mid - 2 * bb_sd", "cci": f"(tp - {sma('tp', 20)}) / nullif(0.015D * (({mad('tp', 20)}) / 20), 0)",
+            "upper": "bb_mid + 2 * bb_sd", "lower": "bb_mid - 2 * bb_sd", "tp_mean": f"avg(tp) OVER {frame(-19, 0)}",
             "nr7": f"coalesce(rng <= {roll('min', 'rng', 7)}, false)", "cmf": f"{roll('sum', 'mfv', 20)} / nullif({roll('sum', 'volume', 20)}, 0)", "ad": cum("sum", "mfv"), "obv": cum("sum", "dv"),
             "span_a": f"({lag('m9', 26)} + {lag('m26', 26)}) / 2", "span_b": lag("m52", 26), "coppock": wma("r14", 10),
             "tr1": "CASE WHEN c1 IS NOT NULL THEN tr END", "bp": "CASE WHEN c1 IS NOT NULL THEN close - least(low, c1) END",
             "b20_up": "coalesce(close > hi20, false)", "b20_dn": "coalesce(close < lo20, false)", "b55_up": "coalesce(close > hi55, false)", "b55_dn": "coalesce(close < lo55, false)", "b252_up": "coalesce(close > hi252, false)", "b252_dn": "coalesce(close < lo252, false)",
         },
         {
-            "macd": "ef - es", "rsi": "CASE WHEN ed = 0 THEN 100D ELSE 100 - 100 / (1 + eu / ed) END", "chaikin": "cf - cs", "kc_up": "kmid + 2 * atr20", "kc_lo": "kmid - 2 * atr20", "width": "(upper - lower) / nullif(bb_mid, 0)",
+            "macd": "ef - es", "cci": f"(tp - {sma('tp', 20)}) / nullif(0.015D * (({mad('tp', 20, 'tp_mean')}) / 20), 0)", "rsi": "CASE WHEN ed = 0 THEN 100D ELSE 100 - 100 / (1 + eu / ed) END", "chaikin": "cf - cs", "kc_up": "kmid + 2 * atr20", "kc_lo": "kmid - 2 * atr20", "width": "(upper - lower) / nullif(bb_mid, 0)",
             "pos": "CASE WHEN tp > t1 THEN tp * volume ELSE 0D END", "neg": "CASE WHEN tp < t1 THEN tp * volume ELSE 0D END", "vplus": f"{roll('sum', 'vp', 14)} / nullif({roll('sum', 'tr1', 14)}, 0)", "vminus": f"{roll('sum', 'vm', 14)} / nullif({roll('sum', 'tr1', 14)}, 0)",
             "uo": f"100 * (4 * ({roll('sum', 'bp', 7)}) / nullif({roll('sum', 'tr1', 7)}, 0) + 2 * ({roll('sum', 'bp', 14)}) / nullif({roll('sum', 'tr1', 14)}, 0) + ({roll('sum', 'bp', 28)}) / nullif({roll('sum', 'tr1', 28)}, 0)) / 7",
             "cloud_top": "CASE WHEN span_a IS NOT NULL AND span_b IS NOT NULL THEN greatest(span_a, span_b) END", "cloud_low": "CASE WHEN span_a IS NOT NULL AND span_b IS NOT NULL THEN least(span_a, span_b) END",

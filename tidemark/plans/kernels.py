@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import calls, options, recursive, strategies, text, validation
 from tidemark.plans import parity, phases
-from tidemark.plans.indicators import PLANS
-from tidemark.sources.bars import DAILY_SQL, daily_bars, table
+from tidemark.sources.bars import daily_bars, table
 
 POSITIVE, NEGATIVE, NEGATORS = ["the", "le*", "and"], ["of", "der", "para"], ["in", "un"]
 
@@ -92,19 +91,6 @@ def strategy_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("strategy", "n", *[F.round(c, 6).alias(c) for c in ("sharpe", "psr", "dsr", "ci_low", "ci_high", "p_le_0", "p")])
 
 
-def scorecard_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each signal's events at each horizon: count, hit rate, mean, median and edge over the symbol's own base rate."""
-    bars = daily_bars(spark, sf_dir)
-    plan = PLANS["signals"]
-    hit = plan.spark(bars).unpivot(["symbol", "time"], plan.out, "signal", "fired").where("fired").drop("fired")
-    fwd = PLANS["forward_returns"].spark(bars).selectExpr("symbol", "time", "stack(3, 5, r5, 10, r10, 20, r20) AS (horizon, r)").where("r IS NOT NULL")
-    base = fwd.groupBy("symbol", "horizon").agg(F.avg("r").alias("base"))
-    x = hit.join(fwd, ["symbol", "time"]).join(base, ["symbol", "horizon"])
-    return x.groupBy("signal", "horizon").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("r") > 0).cast("double")), 6).alias("up_rate"), F.round(F.avg("r"), 5).alias("mean"), F.round(F.percentile("r", F.lit(0.5)), 7).alias("median"), F.round(F.avg(F.col("r") - F.col("base")), 5).alias("edge"),
-    )
-
-
 def token_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.tone(table(spark, sf_dir, "documents"), "text", "doc_id", POSITIVE, NEGATIVE, NEGATORS)
 
@@ -182,12 +168,6 @@ WITH d AS (SELECT doc_id, {_TOKENS} AS ts FROM documents), e AS (SELECT doc_id,
 f AS (SELECT doc_id, {_POS} AS pos, t IN ('of', 'der', 'para') AS neg, {_TURNED} AS turned FROM e),
 g AS (SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (pos AND NOT turned) AS n_pos, count(*) FILTER (neg OR (pos AND turned)) AS n_neg FROM f GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_pos, 0) AS n_pos, coalesce(n_neg, 0) AS n_neg, round((n_pos - n_neg) * 100.0::DOUBLE / n_tokens, 6) AS net_tone FROM d LEFT JOIN g ON d.doc_id = g.doc_id""",
-    "scorecard_native": f"""
-WITH sig AS (SELECT * FROM (UNPIVOT ({PLANS['signals'].sql(DAILY_SQL)}) ON COLUMNS(* EXCLUDE (symbol, time)) INTO NAME signal VALUE fired) WHERE fired),
-fr AS ({PLANS['forward_returns'].sql(DAILY_SQL)}), fwd AS (SELECT symbol, time, 5 AS horizon, r5 AS r FROM fr UNION ALL SELECT symbol, time, 10, r10 FROM fr UNION ALL SELECT symbol, time, 20, r20 FROM fr),
-base AS (SELECT symbol, horizon, avg(r) AS base FROM fwd WHERE r IS NOT NULL GROUP BY 1, 2)
-SELECT signal, sig_f.horizon, count(*) AS n, round(avg(CASE WHEN r > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS up_rate, round(avg(r), 5) AS mean, round(quantile_cont(r, 0.5), 7) AS median, round(avg(r - base), 5) AS edge
-FROM (SELECT sig.symbol, signal, horizon, r FROM sig JOIN fwd ON sig.symbol = fwd.symbol AND sig.time = fwd.time WHERE r IS NOT NULL) sig_f JOIN base ON sig_f.symbol = base.symbol AND sig_f.horizon = base.horizon GROUP BY 1, 2""",
 }
 
-QUERIES = {f.__name__: f for f in (wyckoff_phase, pair_positions, guidance_direction, call_text_metrics, risk_parity_weights, state_columns, state_signals, strategy_significance, zigzag, renko, point_figure, state_strategies, strategy_backtests, scorecard_native, token_tone, headline_slug, page_text, sentence_counts, novelty_cosine, headline_dedupe, option_greeks)}
+QUERIES = {f.__name__: f for f in (wyckoff_phase, pair_positions, guidance_direction, call_text_metrics, risk_parity_weights, state_columns, state_signals, strategy_significance, zigzag, renko, point_figure, state_strategies, strategy_backtests, token_tone, headline_slug, page_text, sentence_counts, novelty_cosine, headline_dedupe, option_greeks)}

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from tidemark.operators.recursive import add_recursive, ema_sql
+from tidemark.operators.recursive import ema_layers, ema_sql
 
 
 @dataclass
@@ -25,11 +25,13 @@ class Plan:
     flags: bool = False
 
     def spark(self, bars: DataFrame) -> DataFrame:
-        df = bars
+        # windows over few bars cost time, not bytes: a partition count given here is not coalesced by size
+        df = bars.repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol")
+        layers: list[dict[str, str]] = []
         for k, stage in enumerate(self.stages):
-            df = df.selectExpr("*", *[f"{x} AS `{c}`" for c, x in stage.items()])
-            if k in self.ema:
-                df = add_recursive(df, self.ema[k])
+            layers += [stage, *ema_layers(self.ema.get(k, {}))]
+        for layer in layers:
+            df = df.selectExpr("*", *[f"{x} AS `{c}`" for c, x in layer.items()])
         return df.selectExpr("symbol", "CAST(time AS STRING) AS time", *[self._last(c) for c in self.out])
 
     def _last(self, c: str) -> str:
