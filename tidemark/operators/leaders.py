@@ -44,11 +44,8 @@ def normalised(title: Column) -> Column:
 
 
 def _grams(text: Column, q: int) -> Column:
-    """Character q-grams, repeats told apart by number, so that shared ones count as often as they stand in both."""
-    n = F.greatest(F.char_length(text) - (q - 1), F.lit(0))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(q)))
-    numbered = F.transform(grams, lambda g, i: F.concat(g, F.lit("\0"), F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda h: h == g)).cast("string")))
-    return F.when(n > 0, numbered).otherwise(F.array().cast("array<string>"))
+    n = F.char_length(text) - (q - 1)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
 
 
 def _offers(titles: DataFrame) -> DataFrame:
@@ -65,7 +62,9 @@ def _offers(titles: DataFrame) -> DataFrame:
         F.struct(F.lit("3").alias("kind"), F.when(size >= TRIGRAMS, _grams(F.col("t"), 3)).otherwise(F.array().cast("array<string>")).alias("grams"), (size - 2 - three + 1).alias("keep")),
     ]
     rows = titles.select("block", "k", F.explode(F.array(*kinds)).alias("x")).select("block", "k", "x.kind", "x.keep", F.explode("x.grams").alias("gram"))
-    return rows
+    # repeats of a gram are told apart by number, so that shared ones count as often as they stand in both
+    rows = rows.groupBy("block", "k", "kind", "keep", "gram").count()
+    return rows.select("block", "k", "kind", "keep", "gram", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("i")).withColumn("gram", F.concat("gram", F.lit("\0"), F.col("i").cast("string"))).drop("i")
 
 
 def _pairs(titles: DataFrame, rounds: Rounds) -> DataFrame:

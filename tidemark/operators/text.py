@@ -1,10 +1,7 @@
-"""Text measures of the news and earnings side: tokens, tone, slugs, markup, sentences, novelty, headline groups."""
+"""Text measures of the news and earnings side: tokens, tone, slugs, markup, sentences, novelty."""
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,27 +73,3 @@ def novelty(df: DataFrame, symbol: str, time: str, text: str, key: str, days: in
     pair = now.join(old, ["s", "day", "t"]).where((F.struct("at0", "k0") < F.struct("at", "k")) & (F.unix_seconds("at") - F.unix_seconds("at0") <= 86400 * days))
     near = pair.groupBy("k", "k0").agg((F.count(F.lit(1)) / F.sqrt(F.first("n").cast("double") * F.first("n0"))).alias("cos")).groupBy("k").agg(F.max("cos").alias("c"))
     return t.join(near, "k", "left").select(F.col("k").alias(key), F.round(1 - F.coalesce("c", F.lit(0.0)), 6).alias("novelty"))
-
-
-def headline_groups(df: DataFrame, block: str, order: list[str], title: str, key: str, jaccard: float = 0.6, ratio: float = 0.85) -> DataFrame:
-    """(key, leader): in order, each title joins the first leader of its block that is alike by words or by sequence."""
-    schema = f"{key} bigint, leader bigint"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable")
-        leaders: list[tuple[int, set[str], str]] = []
-        out = []
-        for k, t in zip(g[key], g[title].fillna(""), strict=True):
-            low = t.lower()
-            words = set(low.split())
-            for lead, has, full in leaders:
-                both = len(words & has)
-                if both and (both / len(words | has) >= jaccard or difflib.SequenceMatcher(None, low, full).ratio() >= ratio):
-                    out.append((k, lead))
-                    break
-            else:
-                leaders.append((k, words, low))
-                out.append((k, k))
-        return pd.DataFrame(out, columns=[key, "leader"])
-
-    return df.groupBy(block).applyInPandas(run, schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import calls, options, recursive, strategies, text, validation
+from tidemark.operators import calls, leaders, options, recursive, strategies, text, validation
 from tidemark.plans import parity, phases
 from tidemark.sources.bars import daily_bars, table
 
@@ -118,8 +118,12 @@ def novelty_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headline_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _headlines(spark, sf_dir).withColumn("day", F.to_date("avail")).withColumn("block", F.concat_ws("|", "source", "day"))
-    return text.headline_groups(h, "block", ["avail", "doc_id"], "title", "doc_id")
+    """Titles of web pages by their host's top domain, in the order of page ids."""
+    pages = table(spark, sf_dir, "pages").where("page_id IS NOT NULL")
+    title = text.html_to_text(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    block = F.regexp_extract("url", r"^[a-z]+://[^/:?#]*\.([a-z]+)", 1)
+    out = leaders.leaders(pages.select(block.alias("block"), F.col("page_id").alias("k"), title.alias("title")))
+    return out.select(F.col("k").alias("page_id"), "block", "leader")
 
 
 def option_greeks(spark: SparkSession, sf_dir: str) -> DataFrame:
