@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import analytics, kernels, patterns, scorecard
+from tidemark.plans import analytics, comparison, kernels, patterns, scorecard
 from tidemark.plans.events import EVENTS
 from tidemark.plans.indicators import PLANS as INDICATORS
 from tidemark.sources.bars import DAILY_SQL, HOURLY_SQL, SPARSE_SQL, daily_bars, hourly_bars, sparse_bars
@@ -30,8 +30,8 @@ def _bars() -> tuple[dict[str, Query], dict[str, str]]:
 
 def queries() -> dict[str, Query]:
     asked = {name: lambda spark, sf_dir, name=name: analytics.run(spark, sf_dir, name) for name in analytics.SQL}
-    return _bars()[0] | {name: _planned(name) for name in PLANS} | asked | kernels.QUERIES | patterns.QUERIES | scorecard.QUERIES
+    return _bars()[0] | {name: _planned(name) for name in PLANS} | asked | kernels.QUERIES | patterns.QUERIES | scorecard.QUERIES | comparison.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _bars()[1] | {name: plan.sql(DAILY_SQL) for name, plan in PLANS.items()} | analytics.ORACLE | kernels.ORACLE | scorecard.ORACLE
+    return _bars()[1] | {name: plan.sql(DAILY_SQL) for name, plan in PLANS.items()} | analytics.ORACLE | kernels.ORACLE | scorecard.ORACLE | comparison.ORACLE
