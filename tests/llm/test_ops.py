@@ -202,6 +202,21 @@ def test_simple8b(most):
         assert (token_files.unpack(words, offsets, n, at, full) == ids).all()
 
 
+@pytest.mark.parametrize("share", [0.0, 0.02, 0.2, 0.9])
+def test_simple8b_packs_as_tight_as_the_greedy_choice(share):
+    """Dense runs, few or many, among large ids: every word takes the most ids that the first fitting selector allows."""
+    r = np.random.default_rng(8)
+    ids = np.concatenate([r.integers(0, 1 << int(b), int(r.integers(1, 200))) if r.random() < share else r.integers(0, 1 << 16, 90) for b in r.integers(0, 14, 300)]).astype(np.uint64)
+    want = 0
+    for a in range(0, len(ids), token_files.BLOCK):
+        block, at = ids[a : a + token_files.BLOCK], 0
+        while at < len(block):
+            at += next(int(n) for n, b in zip(token_files.COUNTS, token_files.BITS, strict=True) if (block[at : at + n] < (1 << int(b))).all())
+            want += 1
+    words, offsets, at, big = token_files.pack(ids)
+    assert len(words) == want and (token_files.unpack(words, offsets, len(ids), at, big) == ids).all()
+
+
 def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
 

@@ -31,7 +31,7 @@ BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
 BLOCK = 1024
 SEGMENT_IDS = 1 << 18
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 SEGMENT = "part int, segment int, first long, docs array<long>, counts array<long>, offsets array<int>, words binary, escape_at array<long>, escape_id array<long>"
 
 # Letters that the tokenizer's normaliser only lowers, and marks that it leaves and splits off.
@@ -48,18 +48,24 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     low = ids.copy()
     low[escape_at] = 0
     end = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
+    top = int(low.max()) if n else 0
+    narrow = low.astype(np.uint32) if not top >> 32 else low
     choice = np.full(n, len(BITS) - 1, np.int8)
     free = np.ones(n, bool)  # positions whose selector is still open
-    here = np.arange(n)
     for s in range(len(BITS) - 1):
-        large = low >= np.uint64(1 << int(BITS[s]))
-        if n - np.count_nonzero(large) < n // 4:  # too few small ids for this selector to be worth a look
+        small = np.flatnonzero(narrow < narrow.dtype.type(1 << int(BITS[s]))) if top >> int(BITS[s]) else None
+        if small is None:  # all fit from here on
+            choice[free] = s
+            break
+        if not len(small):
             continue
-        over = np.concatenate([[0], np.cumsum(large)])
-        fits = free & (over[np.minimum(here + COUNTS[s], end)] == over[:n])
+        # each run of small ids, and where it ends; a selector fits if its ids, or the block's last ones, lie in one run
+        last = np.flatnonzero(np.r_[small[1:] != small[:-1] + 1, True])
+        until = np.repeat(small[last] + 1, np.diff(np.r_[-1, last]))
+        fits = small[free[small] & (until >= np.minimum(small + COUNTS[s], end[small]))]
         choice[fits] = s
-        free &= ~fits
-    step = np.minimum(here + COUNTS[choice], end).tolist()
+        free[fits] = False
+    step = np.minimum(np.arange(n) + COUNTS[choice], end).tolist()
     starts, at = [], 0
     while at < n:
         starts.append(at)
@@ -128,10 +134,10 @@ class WordEncoder:
     def words(self, words: list[str]) -> list[bytes]:
         known = self.known
         new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
+        if len(known) + len(new) > CACHE_WORDS:  # what is in use stays, frequent words above all
+            known = self.known = {w: known[w] for w in words if w in known}
+        if len(self.letters) > CACHE_WORDS:
             self.letters.clear()
-            new = list(dict.fromkeys(words))
         heads = {w: h for w in new if LETTERS.fullmatch(h := w.rstrip(MARKS))}
         other = dict.fromkeys([w for w in new if w not in heads] + [w[len(h) :] for w, h in heads.items() if len(h) < len(w)])
         whole = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(other, self.tokenizer.encode_batch_fast(list(other), add_special_tokens=False), strict=True)}
