@@ -11,7 +11,6 @@ segment's escapes. Parts ascend by document id, segments ascend within a part.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +34,7 @@ CACHE_WORDS = 800_000
 SEGMENT = "part int, segment int, first long, docs array<long>, counts array<long>, offsets array<int>, words binary, escape_at array<long>, escape_id array<long>"
 
 # Letters that the tokenizer's normaliser only lowers, and marks that it leaves and splits off.
-LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 MARKS = '.,!?;:*$%&#|()"<>[]{}=+-_/@~^'
 
 
@@ -122,44 +121,58 @@ class WordEncoder:
         rest = iter(range(256, 512))
         byte = {b: chr(b) if b in printable else chr(next(rest)) for b in range(256)}
         self.mapped = {c: "".join(byte[b] for b in chr(c).lower().encode()) for c in range(0xC0, 0x100)}
-        self.known: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
-
-    def _model(self, letters: str) -> bytes:
-        found = self.letters.get(letters)
-        if found is None:
-            found = self.letters[letters] = np.array([t.id for t in self.model.tokenize(letters)], np.uint32).tobytes()
-        return found
-
-    def words(self, words: list[str]) -> list[bytes]:
-        known = self.known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:  # what is in use stays, frequent words above all
-            known = self.known = {w: known[w] for w in words if w in known}
-        if len(self.letters) > CACHE_WORDS:
-            self.letters.clear()
-        heads = {w: h for w in new if LETTERS.fullmatch(h := w.rstrip(MARKS))}
-        other = dict.fromkeys([w for w in new if w not in heads] + [w[len(h) :] for w, h in heads.items() if len(h) < len(w)])
-        whole = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(other, self.tokenizer.encode_batch_fast(list(other), add_special_tokens=False), strict=True)}
-        for w in new:
-            h = heads.get(w)
-            if h is None:
-                known[w] = whole[w]
-            else:
-                head = self._model(h.lower() if h.isascii() else h.lower().translate(self.mapped))
-                known[w] = head if len(h) == len(w) else head + whole[w[len(h) :]]
-        return [known[w] for w in words]
+        self.whole: dict[str, bytes] = {}
+
+    def _runs(self, names: list[str]) -> list[bytes]:
+        """Ids of lower-cased runs of Latin letters."""
+        known = self.letters
+        if len(known) + len(names) > CACHE_WORDS:  # what is in use stays
+            known = self.letters = {w: known[w] for w in names if w in known}
+        for w in [w for w in names if w not in known]:
+            known[w] = np.array([t.id for t in self.model.tokenize(w if w.isascii() else w.translate(self.mapped))], np.uint32).tobytes()
+        return [known[w] for w in names]
+
+    def _others(self, names: list[str]) -> list[bytes]:
+        known = self.whole
+        if len(known) + len(names) > CACHE_WORDS:
+            known = self.whole = {w: known[w] for w in names if w in known}
+        new = [w for w in names if w not in known]
+        known |= {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        return [known[w] for w in names]
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of distinct words: each is a run of letters and marks after it, or neither."""
+        heads = pc.utf8_rtrim(words, characters=MARKS)
+        plain = pc.match_substring_regex(heads, pattern=f"^{LETTERS}$")
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        runs = pc.utf8_lower(heads.filter(plain)).dictionary_encode()
+        cut = pc.utf8_length(heads).to_numpy()
+        more = is_plain & (cut < pc.utf8_length(words).to_numpy())
+        tails = [w[n:] for w, n in zip(words.filter(pa.array(more)).to_pylist(), cut[more].tolist(), strict=True)]
+        rest = words.filter(pc.invert(plain)).to_pylist()
+        names = list(dict.fromkeys([*rest, *tails]))
+        place = {w: k for k, w in enumerate(names)}
+        pieces = [*self._runs(runs.dictionary.to_pylist()), *self._others(names), b""]
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        first_other, none = len(runs.dictionary), len(pieces) - 1
+        parts = np.full((len(words), 2), none, np.int64)
+        parts[is_plain, 0] = runs.indices.to_numpy(zero_copy_only=False)
+        parts[~is_plain, 0] = [first_other + place[w] for w in rest]
+        parts[more, 1] = [first_other + place[w] for w in tails]
+        flat = _gather(np.frombuffer(b"".join(pieces), np.uint32), np.cumsum(size) - size, size, parts.reshape(-1))
+        return flat, size[parts].sum(axis=1)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends) of all texts, each with the end id after it; null counts as empty."""
         cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         ends = np.asarray(cut.offsets)[1:] - cut.offsets[0].as_py()
         code = cut.flatten().dictionary_encode()
-        ids = [*self.words(code.dictionary.to_pylist()), np.array([end_id], np.uint32).tobytes()]
-        codes = np.insert(code.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(ids) - 1)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        ids, size = self.words(code.dictionary)
+        ids, size = np.append(ids, np.uint32(end_id)), np.append(size, 1)
+        codes = np.insert(code.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(size) - 1)
         total = np.concatenate([[0], np.cumsum(size[codes])])
-        return _gather(np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size, size, codes), total[ends + np.arange(1, len(ends) + 1)]
+        return _gather(ids, np.cumsum(size) - size, size, codes), total[ends + np.arange(1, len(ends) + 1)]
 
 
 _LOADED: dict[bytes, WordEncoder] = {}
