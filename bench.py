@@ -2,6 +2,7 @@
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -13,7 +14,7 @@ HEADLINES = "bars_daily sma_bollinger macd rsi adx candles signals scorecard_nat
 
 def main() -> None:
     spark = (
-        SparkSession.builder.master(f"local[{CPUS}]").config("spark.sql.shuffle.partitions", CPUS).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").config("spark.sql.codegen.cache.maxEntries", "2000").getOrCreate()
+        SparkSession.builder.master(f"local[{CPUS}]").config("spark.sql.shuffle.partitions", CPUS).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").config("spark.sql.codegen.cache.maxEntries", "2000").config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="bench-")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     from tidemark.plans import registry

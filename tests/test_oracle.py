@@ -36,7 +36,7 @@ EXPECTED = {
     "state_columns": ("close", 4000), "state_signals": ("time", 4000), "strategy_significance": ("n", 10), "zigzag": ("price", 3), "renko": ("close", 1), "point_figure": ("boxes", 1),
     "state_strategies": ("time", 4000), "strategy_backtests": ("net", 70), "headline_slug": ("page_id", 50), "page_text": ("n_chars", 50), "sentence_counts": ("n_sentences", 200),
     "novelty_cosine": ("doc_id", 200), "headline_dedupe": ("leader", 50), "option_greeks": ("strike", 8), "chart_patterns": ("status", 0), "chart_signals": ("time", 0),
-    "guidance_direction": ("guidance", 200), "call_text_metrics": ("n_words", 200), "risk_parity_weights": ("weight", 4000), "wyckoff_phase": ("time", 4000), "pair_positions": ("weight_a", 763),
+    "guidance_direction": ("guidance", 200), "call_text_metrics": ("n_words", 200), "risk_parity_weights": ("weight", 4000), "wyckoff_phase": ("time", 4000), "pair_positions": ("weight_a", 763), "hawkes_panel": ("n_mean", 30),
 }
 
 

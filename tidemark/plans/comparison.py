@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import permutation, sentiment
+from tidemark.operators import panel, permutation, sentiment
 from tidemark.sources.bars import DAILY_SQL, SPARSE_SQL, daily_bars, sparse_bars, table
 
 W = "PARTITION BY symbol ORDER BY time"
@@ -49,6 +49,19 @@ def market_profile_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", level(F.col("poc") + 0.5).alias("poc"), level(F.col("g.b") + 1).alias("vah"), level(F.col("g.a")).alias("val"), F.round(F.col("g.s") / F.col("all"), 6).alias("share"))
 
 
+#: Realised volatility of the next five bars on that of the last five and twenty, in logs.
+_VOLATILITY = f"""r AS (SELECT symbol, time, power(ln(close / lag(close) OVER ({W})), 2) AS r2 FROM bars),
+v AS (SELECT symbol, time, sum(r2) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS ahead, count(r2) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS k, sum(r2) OVER ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS v1, sum(r2) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS v4, count(r2) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS k4 FROM r)
+SELECT symbol, time, ln(sqrt(ahead)) AS y, ln(sqrt(v1)) AS log_rv1, ln(sqrt(v4 / 4)) AS log_rv4 FROM v WHERE k = 5 AND k4 = 20 AND ahead > 0 AND v1 > 0"""
+LAGS = 5
+
+
+def volatility_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql("WITH " + _VOLATILITY.replace("FROM bars", "FROM {bars}"), bars=daily_bars(spark, sf_dir))
+    out = panel.driscoll_kraay(rows, "y", ["log_rv1", "log_rv4"], LAGS)
+    return out.select("term", "n", F.round("beta", 6).alias("beta"), F.round("se", 6).alias("se"), F.round("t", 4).alias("t"))
+
+
 #: Stand-ins, in the driver's invented words, for a news lexicon's phrases: pattern and token.
 PHRASES = [(r"\bof the\b", "fin_of_the"), (r"\bde la\b", "fin_de_la"), (r"\bin der\b", "fin_in_der"), (r"\bthat the\b", "fin_that_the")]
 
@@ -67,7 +80,7 @@ def news_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentiment.scores(docs, "text", ["doc_id"], lexicon, PHRASES).select("doc_id", F.col("n_valued").cast("long").alias("n_valued"), F.round("compound", 6).alias("compound"))
 
 
-QUERIES = {f.__name__: f for f in (event_comparison, market_profile_area, news_score)}
+QUERIES = {f.__name__: f for f in (event_comparison, market_profile_area, news_score, volatility_panel)}
 
 
 def _quoted(words: list[str]) -> str:
@@ -128,4 +141,13 @@ g AS (SELECT symbol, poc AS a, poc AS b, top AS s, 0 AS step FROM p UNION ALL
 z AS (SELECT symbol, max(step) AS step FROM g GROUP BY symbol)
 SELECT g.symbol, round(lo + (poc + 0.5) * w, 6) AS poc, round(lo + (b + 1) * w, 6) AS vah, round(lo + a * w, 6) AS val, round(s / total, 6) AS share FROM g JOIN z ON g.symbol = z.symbol AND g.step = z.step JOIN p ON p.symbol = g.symbol""",
     "news_score": _news_sql(),
+    "volatility_panel": f"""
+WITH {_BARS}, q AS (WITH {_VOLATILITY}), x AS (SELECT time, y - avg(y) OVER s AS y, log_rv1 - avg(log_rv1) OVER s AS u, log_rv4 - avg(log_rv4) OVER s AS w FROM q WINDOW s AS (PARTITION BY symbol)),
+a AS (SELECT count(*) AS n, sum(u * u) AS uu, sum(u * w) AS uw, sum(w * w) AS ww, sum(u * y) AS uy, sum(w * y) AS wy FROM x),
+b AS (SELECT *, uu * ww - uw * uw AS det, (ww * uy - uw * wy) / (uu * ww - uw * uw) AS b1, (uu * wy - uw * uy) / (uu * ww - uw * uw) AS b2 FROM a),
+h AS (SELECT time, sum(u * (y - b1 * u - b2 * w)) AS h1, sum(w * (y - b1 * u - b2 * w)) AS h2 FROM x, b GROUP BY time),
+k AS (SELECT row_number() OVER (ORDER BY time) AS i, h1, h2 FROM h),
+s AS (SELECT sum(a1 * g1 * f) AS s11, sum(a1 * g2 * f) AS s12, sum(a2 * g2 * f) AS s22 FROM (SELECT p.h1 AS a1, p.h2 AS a2, q.h1 AS g1, q.h2 AS g2, 1 - abs(p.i - q.i) / {LAGS + 1}.0::DOUBLE AS f FROM k p JOIN k q ON abs(p.i - q.i) <= {LAGS})),
+e AS (SELECT n, b1, b2, sqrt((ww * ww * s11 - 2 * ww * uw * s12 + uw * uw * s22) / (det * det)) AS e1, sqrt((uw * uw * s11 - 2 * uu * uw * s12 + uu * uu * s22) / (det * det)) AS e2 FROM b, s)
+SELECT 'log_rv1' AS term, n, round(b1, 6) AS beta, round(e1, 6) AS se, round(b1 / e1, 4) AS t FROM e UNION ALL SELECT 'log_rv4', n, round(b2, 6), round(e2, 6), round(b2 / e2, 4) FROM e""",
 }

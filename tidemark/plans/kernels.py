@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import calls, leaders, options, recursive, strategies, text, validation
+from tidemark.functions.scratch import Rounds
+from tidemark.operators import calls, hawkes, leaders, options, recursive, strategies, text, validation
 from tidemark.plans import parity, phases
-from tidemark.sources.bars import daily_bars, table
+from tidemark.sources.bars import DAILY_SQL, daily_bars, smoothed_bars, table
+from tidemark.sources.versions import Dataset
 
 POSITIVE, NEGATIVE, NEGATORS = ["the", "le*", "and"], ["of", "der", "para"], ["in", "un"]
 
@@ -22,16 +24,16 @@ def state_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = recursive.rows_of(daily_bars(spark, sf_dir), recursive.zigzag, "pivot int, price double, kind int, confirm int", {"time": 0, "confirm_time": 3})
+    out = recursive.rows_of(smoothed_bars(spark, sf_dir), recursive.zigzag, "pivot int, price double, kind int, confirm int", {"time": 0, "confirm_time": 3})
     return _day(out, "time", "confirm_time")
 
 
 def renko(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _day(recursive.rows_of(daily_bars(spark, sf_dir), recursive.renko, "bar int, side int, open double, close double", {"time": 0}), "time")
+    return _day(recursive.rows_of(smoothed_bars(spark, sf_dir), recursive.renko, "bar int, side int, open double, close double", {"time": 0}), "time")
 
 
 def point_figure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _day(recursive.rows_of(daily_bars(spark, sf_dir), recursive.point_figure, "col int, kind int, low double, high double, boxes int, first int, last int", {"start": 5, "end": 6}), "start", "end")
+    return _day(recursive.rows_of(smoothed_bars(spark, sf_dir), recursive.point_figure, "col int, kind int, low double, high double, boxes int, first int, last int", {"start": 5, "end": 6}), "start", "end")
 
 
 def state_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,11 +164,37 @@ def pair_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("a", "b", "time", "side", *[F.round(c, 6).alias(c) for c in ("z", "weight_a", "weight_b")])
 
 
+def hawkes_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _day(hawkes.posterior(daily_bars(spark, sf_dir), hawkes.Spec(iters=1000, burn=300, chains=2)), "time")
+    return out.select("symbol", "time", "events", *[F.round(c, 6).alias(c) for c in ("n_mean", "n_lo", "n_hi", "p_n_gt_0_5", "mu_mean", "decay_bars", "accept", "log_rv1", "log_rv4", "y")])
+
+
+def dataset_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars built in two versions, the second accumulating later bars onto the first, and read back by split; files are verified."""
+    bars = daily_bars(spark, sf_dir)
+    data = Dataset(spark, Rounds(spark, "dataset").root, "bars")
+    data.build(bars.where("time < DATE '2000-01-01'"))
+    data.build(bars.where("time >= DATE '1999-01-01'"), accumulate=True)
+    sound = data.verify().agg(F.bool_and(F.col("status") == "ok").alias("sound"))  # one row
+    out = []
+    for version in data.versions():
+        for split in ("train", "validation", "test"):
+            x = data.load(version, split, allow_test=True, note="counts")
+            out.append(x.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("time").cast("string").alias("first_bar"), F.max("time").cast("string").alias("last_bar"), F.round(F.sum("close"), 2).alias("close")).select(F.lit(version).alias("version"), F.lit(split).alias("split"), "*"))
+    every = out[0]
+    for part in out[1:]:
+        every = every.union(part)
+    return every.crossJoin(F.broadcast(sound))
+
+
 _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '([A-Za-z][A-Za-z''\\-]*)')"
 _POS = "(t IN ('the', 'and') OR starts_with(t, 'le'))"
 _TURNED = "len(list_intersect(ts[greatest(i - 3, 1):i - 1], ['in', 'un'])) > 0"
 
 ORACLE = {
+    "dataset_build": f"""
+WITH b AS ({DAILY_SQL}), v AS (SELECT 1 AS version, * FROM b WHERE time < DATE '2000-01-01' UNION ALL SELECT 2, * FROM b)
+SELECT version, CASE WHEN time <= DATE '1998-12-31' THEN 'train' WHEN time <= DATE '2000-06-30' THEN 'validation' ELSE 'test' END AS split, symbol, count(*) AS n, min(time)::VARCHAR AS first_bar, max(time)::VARCHAR AS last_bar, round(sum(close), 2) AS close, true AS sound FROM v GROUP BY 1, 2, 3""",
     "token_tone": f"""
 WITH d AS (SELECT doc_id, {_TOKENS} AS ts FROM documents), e AS (SELECT doc_id, ts, unnest(ts) AS t, unnest(range(1, len(ts) + 1)) AS i FROM d),
 f AS (SELECT doc_id, {_POS} AS pos, t IN ('of', 'der', 'para') AS neg, {_TURNED} AS turned FROM e),
@@ -174,4 +202,4 @@ g AS (SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (pos AND NOT turned)
 SELECT d.doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(n_pos, 0) AS n_pos, coalesce(n_neg, 0) AS n_neg, round((n_pos - n_neg) * 100.0::DOUBLE / n_tokens, 6) AS net_tone FROM d LEFT JOIN g ON d.doc_id = g.doc_id""",
 }
 
-QUERIES = {f.__name__: f for f in (wyckoff_phase, pair_positions, guidance_direction, call_text_metrics, risk_parity_weights, state_columns, state_signals, strategy_significance, zigzag, renko, point_figure, state_strategies, strategy_backtests, token_tone, headline_slug, page_text, sentence_counts, novelty_cosine, headline_dedupe, option_greeks)}
+QUERIES = {f.__name__: f for f in (dataset_build, hawkes_panel, wyckoff_phase, pair_positions, guidance_direction, call_text_metrics, risk_parity_weights, state_columns, state_signals, strategy_significance, zigzag, renko, point_figure, state_strategies, strategy_backtests, token_tone, headline_slug, page_text, sentence_counts, novelty_cosine, headline_dedupe, option_greeks)}

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import recursive
-from tidemark.sources.bars import daily_bars
+from tidemark.sources.bars import smoothed_bars
 
 BACK = 5
 
@@ -147,12 +147,12 @@ def chart_patterns(bars: DataFrame) -> DataFrame:
 
 
 def chart_pattern_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chart_patterns(daily_bars(spark, sf_dir))
+    return chart_patterns(smoothed_bars(spark, sf_dir))
 
 
 def chart_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bar on which each chart pattern was confirmed, and the side it broke to."""
-    bars = daily_bars(spark, sf_dir)
+    bars = smoothed_bars(spark, sf_dir)
     numbered = bars.select("symbol", "time", (F.row_number().over(W.partitionBy("symbol").orderBy("time")) - 1).cast("int").alias("resolved"))
     sure = chart_patterns(bars).where("status = 'confirmed'")
     return sure.join(numbered, ["symbol", "resolved"]).select("symbol", F.col("time").cast("string").alias("time"), "pattern", "direction")

@@ -57,10 +57,10 @@ l AS (SELECT *, """ + ", ".join(f"lag(e, {k}) OVER ({W}) AS e{k}" for k in range
 v AS (SELECT symbol, max(m) AS m, max(n) AS n, sum(e * e) / max(n) AS g0, """ + ", ".join(f"sum(e * e{k}) / max(n) AS g{k}" for k in range(1, 6)) + """ FROM l GROUP BY symbol),
 w AS (SELECT symbol, m, n, g0 + 2 * (""" + " + ".join(f"g{k} * {1 - k / 6!r}D" for k in range(1, 6)) + """) AS lrv FROM v)
 SELECT symbol, CAST(n AS BIGINT) AS n, round(m, 8) AS mean, round(sqrt(greatest(lrv, 0D) / n), 8) AS se, round(m / nullif(sqrt(greatest(lrv, 0D) / n), 0), 5) AS t FROM w""",
-    "trading_day_flags": """
+    "month_day_numbers": """
 WITH d AS (SELECT symbol, time, row_number() OVER (PARTITION BY symbol, year(time), month(time) ORDER BY time) AS k, row_number() OVER (PARTITION BY symbol, year(time), month(time) ORDER BY time DESC) AS b FROM sparse)
 SELECT symbol, CAST(time AS STRING) AS time, CAST(k AS BIGINT) AS day_of_month, CAST(b AS BIGINT) AS days_left, k = 1 AS is_first, b = 1 AS is_last, k <= 3 OR b = 1 AS turn_of_month FROM d""",
-    "scan_extremes": f"""
+    "large_moves": f"""
 WITH r AS (SELECT symbol, time, close, close / lag(close) OVER ({W}) - 1 AS r FROM bars), s AS (SELECT *, CASE WHEN count(r) OVER w60 = 60 THEN r / nullif(stddev_samp(r) OVER w60, 0) END AS z FROM r WINDOW w60 AS ({W} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
 SELECT symbol, CAST(time AS STRING) AS time, round(r, 8) AS r, round(z, 5) AS z, CASE WHEN z > 0 THEN 'up' ELSE 'down' END AS side FROM s WHERE abs(round(z, 5)) >= 2""",
     "sentiment_price_lags": f"""
@@ -79,5 +79,31 @@ SELECT symbol, CAST(time AS STRING) AS time, round(CASE WHEN count(*) OVER w120
     "portfolio_vol_target": f"""
 WITH r AS (SELECT symbol, time, close / lag(close) OVER ({W}) - 1 AS r FROM bars), p AS (SELECT time, avg(r) AS r FROM r WHERE r IS NOT NULL GROUP BY time),
 v AS (SELECT time, r, CASE WHEN count(*) OVER w60 = 60 THEN stddev_samp(r) OVER w60 * sqrt(252D) END AS vol FROM p WINDOW w60 AS (ORDER BY time ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
-SELECT CAST(time AS STRING) AS time, round(vol, 7) AS vol, round(least(1.5D, 0.1D / nullif(vol, 0)), 6) AS scale, round(r * least(1.5D, 0.1D / nullif(vol, 0)), 8) AS net FROM v WHERE vol IS NOT NULL""",
+SELECT CAST(time AS STRING) AS time, round(vol, 7) AS vol, round(coalesce(least(2D, 0.1D / nullif(vol, 0)), 1D), 6) AS scale, round(r * coalesce(least(2D, 0.1D / nullif(vol, 0)), 1D), 8) AS net FROM v""",
+    # calendar dates (orders in part shipped) to the sessions whose move they may explain: the first on or after, and the next
+    "trading_day_flags": """
+WITH s AS (SELECT symbol, CAST(time AS DATE) AS d, CAST(row_number() OVER (PARTITION BY symbol ORDER BY time) AS BIGINT) AS k FROM sparse WHERE (unix_date(CAST(time AS DATE)) + 3) % 7 < 5),
+f0 AS (SELECT DISTINCT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderstatus = 'P'),
+u AS (SELECT symbol, d, k, 0 AS dated FROM s UNION ALL SELECT symbol, d, CAST(NULL AS BIGINT) AS k, 1 AS dated FROM f0),
+f AS (SELECT symbol, dated, min(k) OVER (PARTITION BY symbol ORDER BY d RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS k FROM u),
+h AS (SELECT DISTINCT symbol, f.k + spill AS k FROM f CROSS JOIN (VALUES (0), (1)) AS p(spill) WHERE dated = 1 AND f.k IS NOT NULL)
+SELECT s.symbol, CAST(s.d AS STRING) AS time, h.k IS NOT NULL AS flag FROM s LEFT JOIN h ON h.symbol = s.symbol AND h.k = s.k""",
+    # markets of weekly positions, made of flags and part types: where each one's index stands on its last week
+    "scan_extremes": """
+WITH cot AS (SELECT concat(l_returnflag, ' ', p_type) AS market, CAST(date_trunc('week', l_shipdate) AS DATE) AS time, sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END) - sum(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0 END) AS net, sum(l_quantity) AS oi
+ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+x AS (SELECT *, net - lag(net) OVER (PARTITION BY market ORDER BY time) AS change, row_number() OVER (PARTITION BY market ORDER BY time DESC) AS last FROM cot),
+w AS (SELECT * FROM x WHERE last <= 156),
+m AS (SELECT market, count(net) AS n, min(net) AS lo, max(net) AS hi, avg(net) AS mu, stddev_samp(net) AS sd FROM w GROUP BY market),
+r AS (SELECT w.market, time, net, change, 100 * net / nullif(oi, 0) AS pct_oi, round(CASE WHEN n >= 26 THEN 100 * (net - lo) / nullif(hi - lo, 0) END, 6) AS idx, CASE WHEN n >= 26 THEN (net - mu) / nullif(sd, 0) END AS z FROM w JOIN m ON m.market = w.market WHERE last = 1)
+SELECT market, CAST(time AS STRING) AS time, net AS spec_net, change AS spec_wk_chg, round(pct_oi, 6) AS spec_pct_oi, idx AS spec_index, round(z, 6) AS spec_z, CASE WHEN idx > 90 THEN 'extreme long' WHEN idx < 10 THEN 'extreme short' ELSE '' END AS flag FROM r""",
+    # days on which a symbol draws far more attention than before, signed by tone against its own past, led by fresh or stale items
+    "attention_events": """
+WITH d AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS day, CAST(count(*) AS DOUBLE) AS n, round(avg(value / 100 - 1), 9) AS tone, CAST(sum(CASE WHEN value >= 50 THEN 1 ELSE 0 END) AS DOUBLE) AS fresh FROM events GROUP BY 1, 2),
+p AS (SELECT symbol, CAST(time AS DATE) AS day, min_by(open, time) AS o, max_by(close, time) AS c FROM hourly GROUP BY 1, 2), m AS (SELECT day, avg(o) AS mo, avg(c) AS mc FROM p GROUP BY day),
+q AS (SELECT p.symbol, p.day, o, c, mo, mc FROM p JOIN m ON m.day = p.day),
+f AS (SELECT symbol, day, """ + ", ".join(f"lead(c, {h}) OVER (PARTITION BY symbol ORDER BY day) / lead(o) OVER (PARTITION BY symbol ORDER BY day) - lead(mc, {h}) OVER (PARTITION BY symbol ORDER BY day) / lead(mo) OVER (PARTITION BY symbol ORDER BY day) AS car{h}" for h in (1, 5)) + """ FROM q),
+b AS (SELECT *, fresh / n AS share, count(*) OVER w10 AS k, avg(n) OVER w10 AS base, stddev_samp(n) OVER w10 AS sd, avg(tone) OVER w10 AS was, percentile(fresh / n, 0.5) OVER w10 AS share_base FROM d WINDOW w10 AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, CASE WHEN tone > round(was, 9) THEN 1D WHEN tone < round(was, 9) THEN -1D ELSE 0D END AS dir FROM b WHERE k >= 5 AND n > round(base + sd, 6) AND n >= 20)
+SELECT h.symbol, CAST(h.day AS STRING) AS day, CAST(n AS BIGINT) AS n, dir, round(share, 6) AS fresh_share, round(share, 9) > round(share_base, 9) AS fresh_led, round(dir * car1 - 0.001D, 6) AS car1, round(dir * car5 - 0.001D, 6) AS car5 FROM h JOIN f ON f.symbol = h.symbol AND f.day = h.day WHERE dir <> 0""",
 }

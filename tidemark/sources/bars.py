@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,14 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ohlcv(e, F.col("event_type"), F.date_trunc("hour", "ts"), price, F.lit(1.0), [F.col("ts"), F.col("event_id")])
 
 
+def smoothed_bars(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
+    """Daily bars about the mean of the last ``n`` closes: open is the mean before, wicks are a thousandth. Prices that move in swings, as patterns need."""
+    w = Window.partitionBy("symbol").orderBy("time")
+    mean = F.when(F.count("close").over(w.rowsBetween(1 - n, 0)) == n, F.avg("close").over(w.rowsBetween(1 - n, 0)))
+    bars = daily_bars(spark, sf_dir).withColumn("mean", mean).withColumn("before", F.lag("mean").over(w)).where("before IS NOT NULL")
+    return bars.select("symbol", "time", F.col("before").alias("open"), (F.greatest("mean", "before") * 1.001).alias("high"), (F.least("mean", "before") * 0.999).alias("low"), F.col("mean").alias("close"), "volume")
+
+
 # The same bars for the oracle.
 DAILY_SQL = """SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS time,
  arg_min(l_extendedprice, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS open, max(l_extendedprice) AS high, min(l_extendedprice) AS low,
