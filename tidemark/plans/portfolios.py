@@ -40,7 +40,7 @@ r AS (SELECT *, rank() OVER (PARTITION BY time ORDER BY mom DESC NULLS LAST) + (
 x AS (SELECT symbol, time, month_end, CASE WHEN mom IS NOT NULL AND valid >= 2 AND rk <= 2 THEN 0.5D ELSE 0D END AS w FROM r)
 {monthly('x')}""",
     "dual_momentum": f"""
-WITH {PANEL}, m AS (SELECT *, close / lag(close, 252) OVER ({W}) - 1 AS mom, max(symbol) OVER () AS safe FROM held),
+WITH {PANEL}, m AS (SELECT held.*, close / lag(close, 252) OVER ({W}) - 1 AS mom, safe FROM held CROSS JOIN (SELECT max(symbol) AS safe FROM names) s),
 b AS (SELECT time, max(CASE WHEN symbol <> safe THEN mom END) AS best_r, min(CASE WHEN symbol = safe THEN greatest(coalesce(mom, 0D), 0D) END) AS hurdle FROM m GROUP BY time),
 f AS (SELECT b.time, best_r, hurdle, min(CASE WHEN symbol <> safe AND mom = best_r THEN symbol END) AS best FROM b JOIN m ON m.time = b.time GROUP BY b.time, best_r, hurdle),
 x AS (SELECT m.symbol, m.time, month_end, CASE WHEN best_r IS NULL THEN 0D WHEN m.symbol = CASE WHEN best_r > hurdle THEN best ELSE safe END THEN 1D ELSE 0D END AS w FROM m JOIN f ON m.time = f.time)
