@@ -411,7 +411,7 @@ def test_lm_score_rare_words_have_context(spark):
 def test_oracles(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = queries.queries()[name](spark, sf)
     rel = con.sql(queries.oracle_sql()[name])
