@@ -13,6 +13,8 @@ its size) and summed back by row, partial sums first.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,16 +46,29 @@ ANALYST_UP = r"\b(upgrades?|upgraded|fin_pt_up|raises? (its )?price target|to (b
 ANALYST_DOWN = r"\b(downgrades?|downgraded|fin_pt_down|cuts? (its )?price target|to (sell|underweight|underperform|neutral|hold))\b"
 
 
+# A border of a word of ASCII letters, digits and _, which is what \b means to SQL engines. Java's depends on its version, and takes letters with marks for parts of words.
+_IN = "[0-9A-Za-z_]"
+_BORDER = f"(?:(?<!{_IN})(?={_IN})|(?<={_IN})(?!{_IN}))"
+
+
+def _bordered(pattern: str) -> str:
+    """The pattern with SQL's borders; one look is enough where the pattern starts or ends with two letters beside it."""
+    pattern = re.sub(r"^\\b(?=[A-Za-z]{2})", lambda _: f"(?<!{_IN})", pattern) if "|" not in pattern else pattern
+    pattern = re.sub(r"(?<=[A-Za-z]{2})\\b$", lambda _: f"(?!{_IN})", pattern) if "|" not in pattern else pattern
+    return re.sub(r"\\(.)", lambda m: _BORDER if m[1] == "b" else m[0], pattern, flags=re.S)
+
+
 def rewritten(text: Column, phrases: list[tuple[str, str]]) -> Column:
     """The text with each pattern's matches, in any case, replaced by its token, one pattern after the other."""
     out = F.coalesce(text, F.lit(""))
     for pattern, token in phrases:
-        out = F.regexp_replace(out, f"(?i){pattern}", f" {token} ")
+        out = F.regexp_replace(out, f"(?i){_bordered(pattern)}", f" {token} ")
     return out
 
 
 def tokens(text: Column, phrases: list[tuple[str, str]]) -> Column:
-    return F.regexp_extract_all(rewritten(text, phrases), F.lit(TOKEN), F.lit(0))
+    # \s has the vertical tab in Java alone
+    return F.regexp_extract_all(rewritten(text, phrases), F.lit(TOKEN.replace(r"\s", r"\t\n\f\r ")), F.lit(0))
 
 
 def _plain(word: Column) -> Column:
