@@ -6,9 +6,9 @@ capitals among other writing, turned by a negator there, and none of these reach
 over a contrast. What comes before a text's first contrast counts half, what
 comes after one and a half.
 
-Context is put into each token by array functions, so only tokens of the lexicon
-leave their row: they are joined to the lexicon table (Spark picks the join by
-its size) and summed back by row, partial sums first.
+Context is put into each token by array functions, and a row's tokens of one word
+become one cell of two weights, for the word's valence and for its sign. Cells are
+joined to the lexicon table (Spark picks the join by its size) and summed by row.
 """
 
 from __future__ import annotations
@@ -75,38 +75,41 @@ def _plain(word: Column) -> Column:
     return F.replace(word, F.lit("'"), F.lit(""))
 
 
-def _boost(word: Column) -> Column:
-    return F.when(word.isin(RAISE), BOOST).when(word.isin(LOWER), -BOOST).otherwise(0.0)
-
-
-def _in_context() -> Column:
-    """An array of (word, capital, before, side) for each token, and one of no word, so that every row keeps one."""
-    ws, low = F.col("_ws"), F.col("_low")
-    alone = F.filter(ws, lambda w: w.rlike("^[A-Za-z]{2,}$"))
-    capital = lambda w: w == F.upper(w)
-    mixed = F.exists(alone, capital) & ~F.forall(alone, capital)
-    turn = F.coalesce(*[F.when(F.array_position(low, c) > 0, F.array_position(low, c)) for c in CONTRAST], F.lit(0))
-    cell = lambda w, i: F.struct(
-        _plain(F.lower(w)).alias("word"),
-        (mixed & w.rlike("^[A-Za-z]{2,}$") & capital(w)).alias("capital"),
-        F.reverse(F.slice(low, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))).alias("before"),
-        F.when(turn == 0, 1.0).when(i + 1 < turn, 0.5).when(i + 1 > turn, 1.5).otherwise(1.0).alias("side"),
-    )
-    none = F.struct(F.lit(None).cast("string").alias("word"), F.lit(False).alias("capital"), F.array().cast("array<string>").alias("before"), F.lit(0.0).alias("side"))
-    return F.concat(F.array(none), F.transform(ws, cell))
-
-
-def _valued(valence: Column) -> Column:
-    """A word's valence in its context, by the joined columns."""
-    sign = F.when(valence > 0, 1.0).otherwise(-1.0)
-    value, turned, open_ = valence + F.when(F.col("c.capital"), CAPITALS * sign).otherwise(0.0), F.lit(False), F.lit(True)
-    for j, decay in enumerate(DECAY):
-        word = F.try_element_at("c.before", F.lit(j + 1))
-        plain = _plain(word)
-        value = value + F.when(open_, F.coalesce(_boost(plain), F.lit(0.0)) * sign * decay).otherwise(0.0)
-        turned = turned | (open_ & F.coalesce(plain.isin(NEGATE) | word.rlike("^[^']*n't$"), F.lit(False)))
-        open_ = open_ & F.coalesce(~plain.isin(CONTRAST), F.lit(True))
-    return F.when(turned, value * TURNED).otherwise(value) * F.col("c.side")
+def _kind(low: Column) -> Column:
+    """What a token does to those after it: 1 raises, 2 lowers, 3 turns, 4 bars the way; 0 nothing. The word lists have no word in common."""
+    plain = _plain(low)
+    turns = plain.isin(NEGATE) | (low.endswith("n't") & (F.length(low) - F.length(plain) == 1))
+    return F.when(plain.isin(RAISE), 1).when(plain.isin(LOWER), 2).when(turns, 3).when(plain.isin(CONTRAST), 4).otherwise(0)
+
+
+def _cells(df: DataFrame, text: str, keep: list[str], phrases: list[tuple[str, str]]) -> DataFrame:
+    """(row, word, times, extra, n, keep, marks) for each row and distinct word: ``times`` of its valence and ``extra`` of its valence's sign go into the row's sum.
+
+    Each row also has a cell of no word, which alone carries the columns ``keep`` and the marks. Whatever
+    holds for a whole text is found before its words part, so the work grows with the number of words.
+    Texts are dealt out by row, so that a row's words are counted where they are made.
+    """
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), *keep, F.coalesce(F.col(text), F.lit("")).alias("_text")).repartition("_row")
+    rows = rows.withColumns({"_marks": F.length(F.regexp_replace("_text", "[^!]", "")), "_ws": tokens(F.col("_text"), phrases)})
+    alone = lambda w: w.rlike("^[A-Za-z]{2,}$")
+    mixed = F.exists("_ws", lambda w: alone(w) & (w == F.upper(w))) & F.exists("_ws", lambda w: alone(w) & (w != F.upper(w)))
+    rows = rows.withColumns({"_low": F.transform("_ws", F.lower), "_mixed": mixed})
+    turn = F.coalesce(*[F.when(F.array_position("_low", c) > 0, F.array_position("_low", c)) for c in CONTRAST], F.lit(0))
+    rows = rows.withColumns({"_turn": turn, "_kinds": F.transform("_low", _kind)})
+    steps, size = range(1, len(DECAY) + 1), F.size("_ws")
+    back = [F.concat(F.array_repeat(F.lit(0), j + 1), F.slice("_kinds", 1, F.greatest(size - j, F.lit(0)))).alias(f"b{j}") for j in steps]
+    zipped = F.arrays_zip(F.array(F.struct(*keep, "_marks")).alias("kept"), F.concat(F.array(F.lit(None).cast("string")), "_ws").alias("w"), *back)
+    cells = rows.select("_row", "_mixed", "_turn", F.posexplode(zipped).alias("i", "c"))
+    w = F.col("c.w")
+    extra, turned, open_ = F.when(F.col("_mixed") & alone(w) & (w == F.upper(w)), CAPITALS).otherwise(0.0), F.lit(False), F.lit(True)
+    for j, decay in zip(steps, DECAY, strict=True):
+        kind = F.col(f"c.b{j}")
+        extra = extra + F.when(open_ & (kind == 1), BOOST * decay).when(open_ & (kind == 2), -BOOST * decay).otherwise(0.0)
+        turned, open_ = turned | (open_ & (kind == 3)), open_ & (kind != 4)
+    side = F.when(F.col("_turn") == 0, 1.0).when(F.col("i") < F.col("_turn"), 0.5).when(F.col("i") > F.col("_turn"), 1.5).otherwise(1.0)
+    cells = cells.select("_row", _plain(F.lower(w)).alias("_key"), (F.when(turned, TURNED).otherwise(1.0) * side).alias("_times"), extra.alias("_extra"), *[F.col(f"c.kept.{k}").alias(k) for k in [*keep, "_marks"]])
+    firsts = [F.first(k, ignorenulls=True).alias(k) for k in [*keep, "_marks"]]
+    return cells.groupBy("_row", "_key").agg(F.sum("_times").alias("_times"), F.sum(F.col("_times") * F.col("_extra")).alias("_extra"), F.count(F.lit(1)).alias("_n"), *firsts)
 
 
 def scores(df: DataFrame, text: str, keep: list[str], lexicon: DataFrame, phrases: list[tuple[str, str]] = ()) -> DataFrame:
@@ -115,17 +118,14 @@ def scores(df: DataFrame, text: str, keep: list[str], lexicon: DataFrame, phrase
     ``lexicon`` is (word, valence): lower-case words without apostrophes, or a
     phrase's token. Boosters have no valence of their own.
     """
-    phrases = list(phrases)
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), *keep, F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^!]", "")).alias("_marks"), tokens(F.col(text), phrases).alias("_ws"))
-    rows = rows.withColumn("_low", F.transform("_ws", F.lower))
-    cells = rows.select("_row", *keep, "_marks", F.explode(_in_context()).alias("c"))
+    cells = _cells(df, text, keep, list(phrases))
     words = lexicon.select(F.col("word").alias("_word"), F.col("valence").cast("double").alias("_v")).where(~F.col("word").isin(RAISE + LOWER))
-    key = F.coalesce(F.col("c.word"), F.concat(F.lit("\0"), F.col("_row")))  # rows of no word don't meet in one task
-    hit = cells.withColumn("_key", key).join(words, F.col("_key") == F.col("_word"), "left").where("_word IS NOT NULL OR c.word IS NULL")
-    v = F.when(F.col("_word").isNotNull(), _valued(F.col("_v"))).otherwise(0.0)
-    s = hit.groupBy("_row").agg(*[F.first(c).alias(c) for c in keep], F.first("_marks").alias("_marks"), F.sum(v).alias("s"), F.count("_word").alias("n_valued"))
-    s = s.withColumn("s", F.when(F.col("s") != 0, F.col("s") + F.signum("s") * F.least("_marks", F.lit(MOST_EXCLAIMED)) * EXCLAIM).otherwise(0.0))
-    return s.select(*keep, "n_valued", (F.col("s") / F.sqrt(F.col("s") * F.col("s") + NORM)).alias("compound"))
+    key = F.coalesce(F.col("_key"), F.concat(F.lit("\0"), F.col("_row")))  # rows of no word don't meet in one task
+    hit = cells.withColumns({"_none": F.col("_key").isNull(), "_key": key}).join(words, F.col("_key") == F.col("_word"), "left").where("_word IS NOT NULL OR _none")
+    v = F.when(F.col("_word").isNotNull(), F.col("_times") * F.col("_v") + F.col("_extra") * F.when(F.col("_v") > 0, 1.0).otherwise(-1.0)).otherwise(0.0)
+    s = hit.groupBy("_row").agg(*[F.first(c, ignorenulls=True).alias(c) for c in [*keep, "_marks"]], F.sum(v).alias("_s"), F.sum(F.when(F.col("_word").isNotNull(), F.col("_n")).otherwise(0)).alias("n_valued"))
+    s = s.withColumn("_s", F.when(F.col("_s") != 0, F.col("_s") + F.signum("_s") * F.least("_marks", F.lit(MOST_EXCLAIMED)) * EXCLAIM).otherwise(0.0))
+    return s.select(*keep, "n_valued", (F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + NORM)).alias("compound"))
 
 
 def with_label(compound: Column, label: Column) -> Column:
