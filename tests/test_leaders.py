@@ -69,3 +69,46 @@ def test_a_chain_alternates(spark):
 
 def test_no_titles(spark):
     assert L.leaders(spark.createDataFrame([], "block string, k long, title string")).collect() == []
+
+
+def test_copies_write_no_pairs(spark, monkeypatch):
+    """2,000 copies of one title: no pair of them is written, where each of the two million was."""
+    rows = [("x", i, "a long title that many pages share between them") for i in range(2000)] + [("x", 2000, "something else entirely"), ("y", 0, "a long title that many pages share between them")]
+    pairs = []
+
+    class Counted(L.Rounds):
+        def save(self, df, name):
+            out = super().save(df, name)
+            if name == "pairs":
+                pairs.append(out.count())
+            return out
+
+    monkeypatch.setattr(L, "Rounds", Counted)
+    got = {(x.block, x.k): x.leader for x in L.leaders(spark.createDataFrame(rows, "block string, k long, title string")).collect()}
+    assert got == {(b, k): 0 if k < 2000 else k for b, k, _ in rows} and pairs == [0]
+
+
+def test_common_subsequences(spark):
+    """Bit rows against the table, over one word of bits and more, where carries run on."""
+    r = np.random.default_rng(5)
+    texts = ["".join(r.choice(list("ab c"), int(r.integers(1, 150)))) for _ in range(60)] + ["a" * 64, "a" * 128, "b", "ab" * 70]
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    codes, size = L._coded(texts)
+    x, y = np.triu_indices(len(texts))
+    assert L._common(codes, codes, size, x, y).tolist() == [table(texts[i], texts[j]) for i, j in zip(x, y, strict=True)]
+
+
+def test_no_alike_pair_is_lost_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(L, "FEWEST", 30)
+    rows = [("x", i, t) for i, t in enumerate(_titles(3, 300))]
+    got = L.leaders(spark.createDataFrame(rows, "block string, k long, title string").repartition(3)).collect()
+    assert {(x.block, x.k): x.leader for x in got} == _loop(rows)
