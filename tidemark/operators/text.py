@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 TOKEN = r"[A-Za-z][A-Za-z'\-]*"
 #: Tokens within which a negator turns a positive word.
 REACH = 3
+#: Pairs of rows that share a token for one task of ``novelty``, at most about half of these in fact.
+PAIRS = 4_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -64,12 +66,17 @@ def novelty(df: DataFrame, symbol: str, time: str, text: str, key: str, days: in
     """(key, novelty): 1 less the highest cosine of token sets with an earlier row of the symbol within so many days.
 
     A band join: rows meet on (symbol, day bucket, token), so only rows that share a token and may lie in the window are paired.
+    Tasks are as many as the pairs ask for, which are counted first by their keys, so a task's table of pairs stays of one size.
     """
     t = df.select(F.col(symbol).alias("s"), F.col(time).alias("at"), F.col(key).alias("k"), F.array_distinct(tokens(F.col(text))).alias("ts"))
     t = t.withColumns({"n": F.size("ts"), "day": F.floor(F.unix_seconds("at") / (86400 * days))})
     now = t.select("s", "day", "at", "k", "n", F.explode("ts").alias("t"))
+    bound = now.groupBy("s", "day", "t").count().agg(F.sum(F.col("count").cast("double") * F.col("count") * 2)).first()[0] or 0
+    tasks = int(bound // PAIRS) + 1
     old = t.select("s", F.explode(F.array(F.col("day"), F.col("day") + 1)).alias("day"), F.col("at").alias("at0"), F.col("k").alias("k0"), F.col("n").alias("n0"), "ts")
     old = old.select("s", "day", "at0", "k0", "n0", F.explode("ts").alias("t"))
-    pair = now.join(old, ["s", "day", "t"]).where((F.struct("at0", "k0") < F.struct("at", "k")) & (F.unix_seconds("at") - F.unix_seconds("at0") <= 86400 * days))
+    meet = ["s", "day", "t"]
+    pair = now.repartition(tasks, *meet).join(old.repartition(tasks, *meet), meet).where((F.struct("at0", "k0") < F.struct("at", "k")) & (F.unix_seconds("at") - F.unix_seconds("at0") <= 86400 * days))
+    pair = pair.select("k", "k0", "n", "n0").repartition(tasks, "k")
     near = pair.groupBy("k", "k0").agg((F.count(F.lit(1)) / F.sqrt(F.first("n").cast("double") * F.first("n0"))).alias("cos")).groupBy("k").agg(F.max("cos").alias("c"))
     return t.join(near, "k", "left").select(F.col("k").alias(key), F.round(1 - F.coalesce("c", F.lit(0.0)), 6).alias("novelty"))
