@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on a small table with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, exact_dedup, jaccard_join, line_dedup, lm_score, mixing, quality, queries, sharding, token_files, url_filter
-from tidemark.llm.common import Scratch, components
+from tidemark.llm.common import TIDY, Scratch, components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _w string, n int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -355,6 +356,32 @@ def test_line_links_by_length(spark):
     assert len(every) == 7 and all(found[k] >= 0.9 * every[k] for k in every), {k: found[k] / every[k] for k in every}
 
 
+def test_line_similarity_is_that_of_the_distance(spark):
+    """Pieces and segments settle pairs as the distance does, whatever the length and script; segments never give less than the distance."""
+    r = np.random.default_rng(4)
+    lines = [*_families(r), *_unspaced(r), *(x + " " + y for x, y in itertools.pairwise(_families(r)) if len(x) > 200), "ab " * 900, "ab " * 890 + "cd"]
+    table = pa.table({"k": range(len(lines)), "t": lines})  # noqa: F841  read by name
+    pairs = duckdb.sql("SELECT a.t, b.t FROM \"table\" a JOIN \"table\" b ON a.k <> b.k WHERE abs(a.k - b.k) < 9").fetchall()
+    df = spark.createDataFrame(pairs, "x string, y string")
+    got = df.select("x", "y", F.levenshtein("x", "y").alias("d"), line_dedup.similar(F.col("x"), F.col("y"), 0.9).alias("similar"), line_dedup._distance_by_segments(F.col("x"), F.col("y")).alias("most")).collect()
+    assert all(g.similar == (g.d <= int(max(len(g.x), len(g.y)) * (1 - 0.9) + 1e-9)) and (g.most is None or g.most >= g.d) for g in got)
+    assert sum(g.similar and len(g.x) > 200 for g in got) > 100
+
+
+def test_line_dedup_leaves_no_shuffle_behind(spark, docs):
+    files = lambda: {f.getName() for f in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
+    sc = spark.sparkContext
+    before, setting = files(), spark.conf.get(TIDY)
+    line_dedup.line_dedup(docs)
+    assert not [f for f in files() - before if f.startswith("shuffle")] and spark.conf.get(TIDY) == setting
+
+
+def test_line_dedup_normalised(spark):
+    lines = ["  A--b  c d, e ", "x", " ", "Ä1  2!", "a b\tc", "a ! b", "ŉ٣-ß", "…a b…", "a\u00a0b  "]
+    got = spark.createDataFrame(list(enumerate(lines)), "k long, t string").select(line_dedup.normalised(F.col("t")), F.trim(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N}]+", " "))).collect()
+    assert [x[0] for x in got] == [x[1] for x in got]
+
+
 def test_line_dedup_blocks_hold_still(spark):
     """One word more changes one part at most, and votes are majorities of the words' bits."""
     base = _sentence(4, 90)
