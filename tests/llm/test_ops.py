@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, exact_dedup, jaccard_join, line_dedup, lm_score, mixing, quality, queries, sharding, token_files, url_filter
@@ -421,6 +422,40 @@ def test_lm_score_trains_on_every_position(spark):
     assert (got[1000] - got[1001]) * 16 > 1
 
 
+@pytest.mark.parametrize("safe", [60.0, 0.0])
+def test_lm_network_against_plain_sums(monkeypatch, safe):
+    """A step and the log-probabilities after it, with logits shifted or not, against gradients written out in double precision."""
+    monkeypatch.setattr(lm_score, "SAFE", safe)
+    r = np.random.default_rng(3)
+    around, target = r.integers(0, lm_score.CLASSES + 1, (50, 2 * lm_score.SIDE)), r.integers(0, lm_score.CLASSES, 50)
+    net = lm_score.Network()
+    v = {k: getattr(net, k).astype(float) for k in net.SHAPES}
+
+    def forward():
+        x = v["embed"][around].reshape(50, -1)
+        h = np.tanh(x @ v["w"] + v["b"])
+        z = h @ v["out"] + v["bias"]
+        return x, h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+    x, h, z = forward()
+    d = (np.exp(z) - np.eye(lm_score.CLASSES)[target]) * lm_score.RATE / 50 * 8
+    dh = d @ v["out"].T * (1 - h * h)
+    dx = (dh @ v["w"].T).reshape(50, 2 * lm_score.SIDE, -1)
+    for k, g in {"out": h.T @ d, "bias": d.sum(axis=0), "w": x.T @ dh, "b": dh.sum(axis=0)}.items():
+        v[k] -= g
+    np.subtract.at(v["embed"], around, dx)
+    net.fit(around, target)
+    assert all(np.allclose(getattr(net, k), v[k], atol=1e-5) for k in v)
+    assert np.allclose(net.log_prob(around, target), forward()[2][np.arange(50), target], atol=1e-4)
+
+
+def test_lm_tokens_are_hashes_of_the_words():
+    texts = pa.array(["left out", None, "", "  a\tÜber a ", "Über", "\u00a0x"])
+    want = [[xxhash.xxh3_64_intdigest(w) >> 48 for w in WORD.findall(t or "")] for t in texts.to_pylist()]
+    assert [x.tolist() for x in lm_score.tokens(texts)] == want
+    assert [x.tolist() for x in lm_score.tokens(texts.slice(1, 4))] == want[1:5] and lm_score.tokens(texts.slice(0, 0)) == []
+
+
 def test_lm_score_rare_words_have_context(spark):
     """Two rare words of one class and one frequency are told apart by the word before."""
     common = [f"c{k}" for k in range(200)]

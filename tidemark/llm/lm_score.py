@@ -17,6 +17,7 @@ all tasks are averaged by their number of windows, for some rounds.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,11 @@ CONTEXT = np.concatenate([np.arange(16), 16 + np.arange(16, CLASSES) % (CONTEXTS
 SLICE = 1 << 15
 #: Places in one pass through the network when scoring.
 ROWS = 1 << 10
+#: Logits whose exponentials, and their sum over classes, stay within single precision.
+SAFE = 60.0
+ALL = np.ones(CLASSES, np.float32)
+#: The cells of each class's embedding.
+CELLS = np.arange((CLASSES + 1) * WIDTH).reshape(CLASSES + 1, WIDTH)
 
 
 def tokens(texts: pa.Array) -> list[np.ndarray]:
@@ -46,9 +52,11 @@ def tokens(texts: pa.Array) -> list[np.ndarray]:
     cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     offsets = (np.asarray(cut.offsets) - cut.offsets[0].as_py()).tolist()
     code = cut.flatten().dictionary_encode()
-    names = code.dictionary.to_pylist()
-    bin_ = np.array([xxhash.xxh3_64_intdigest(w) >> 48 if w else 0 for w in names], np.uint16)
-    full = np.array([w != "" for w in names], bool)
+    names = code.dictionary
+    at = np.frombuffer(names.buffers()[1], np.int64, len(names) + 1, names.offset * 8).tolist() if len(names) else [0]
+    raw = memoryview(names.buffers()[2] or b"")
+    bin_ = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) >> 48 for a, b in pairwise(at)], np.uint16)
+    full = np.diff(at) > 0
     codes = code.indices.to_numpy(zero_copy_only=False)
     return [bin_[c[full[c]]] if len(c) else np.array([], np.uint16) for c in (codes[a:b] for a, b in zip(offsets, offsets[1:], strict=False))]
 
@@ -69,13 +77,14 @@ class Network:
 
     def _forward(self, around: np.ndarray):
         """Inputs by row; hidden values and logits by column, where sums over classes run along memory."""
-        x = self.embed[around].reshape(len(around), -1)
+        x = self.embed.take(around, axis=0).reshape(len(around), -1)
         h = self.w.T @ x.T
         h += self.b[:, None]
         np.tanh(h, out=h)
         z = self.out.T @ h
         z += self.bias[:, None]
-        z -= z.max(axis=0)
+        if (np.abs(self.out).sum(axis=0) + np.abs(self.bias)).max() > SAFE:
+            z -= z.max(axis=0)
         return x, h, z
 
     def log_prob(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -84,24 +93,27 @@ class Network:
             own = slice(x, x + ROWS)
             z = self._forward(around[own])[2]
             at = z[target[own], np.arange(z.shape[1])]
-            out[own] = at - np.log(np.exp(z, out=z).sum(axis=0))
+            out[own] = at - np.log(ALL @ np.exp(z, out=z))
         return out
 
     def fit(self, around: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
         """One step of gradient descent on a batch."""
         x, h, p = self._forward(around)
-        step = np.float32(rate / len(target) * 8)
         np.exp(p, out=p)
-        p *= step / p.sum(axis=0)
-        p[target, np.arange(len(target))] -= step
+        total = ALL @ p
+        p[target, np.arange(len(target))] -= total
+        # each place's share is divided by its total not over all classes, but where these are summed up
+        share = np.float32(rate / len(target) * 8) / total
         d = self.out @ p
+        d *= share
         d *= 1 - h * h
         dx = d.T @ self.w.T
+        h *= share
         self.out -= h @ p.T
-        self.bias -= p.sum(axis=1)
+        self.bias -= p @ share
         self.w -= x.T @ d.T
         self.b -= d.sum(axis=1)
-        cell = around.ravel()[:, None] * WIDTH + np.arange(WIDTH)
+        cell = CELLS.take(around, axis=0)
         self.embed -= np.bincount(cell.ravel(), dx.ravel(), minlength=self.embed.size).reshape(self.embed.shape)
 
 
@@ -126,9 +138,13 @@ def _within(encoded: DataFrame, held, counts: np.ndarray, class_of: np.ndarray)
             context = CONTEXT[held.value[bins]]
             left, right = np.roll(context, 1), np.roll(context, -1)
             right[ends - 1] = left[np.concatenate([[0], ends[:-1]])] = CONTEXTS - 1
-            for cell in (bins * CONTEXTS + left, cells + bins * CONTEXTS + right):
-                cell, n = np.unique(cell, return_counts=True)
-                total[cell] += n
+            for part, context in ((total[:cells], left), (total[cells:], right)):
+                cell = bins * CONTEXTS + context
+                if len(cell) > cells // 8:  # counting over all cells then costs less than sorting
+                    part += np.bincount(cell, minlength=cells)
+                else:
+                    cell, n = np.unique(cell, return_counts=True)
+                    part[cell] += n
         some = np.flatnonzero(total)
         for x in range(0, len(some), SLICE):
             yield pa.RecordBatch.from_arrays([pa.array(some[x : x + SLICE], pa.int32()), pa.array(total[some[x : x + SLICE]])], ["cell", "n"])
