@@ -369,6 +369,29 @@ def test_line_similarity_is_that_of_the_distance(spark):
     assert sum(g.similar and len(g.x) > 200 for g in got) > 100
 
 
+def test_line_keys_of_short_words_alone(spark):
+    """Long lines that share one half of three frequent short words and nothing else meet nowhere; with few words beside it they do."""
+    r = np.random.default_rng(5)
+    words = {a + b for a in "abcdefghij" for b in "klmnopqrst"} | {"".join(r.choice(list("abcdefgh"), 6)) for _ in range(3000)}
+    hashed = spark.createDataFrame([(w,) for w in sorted(words)], "w string").select("w", F.xxhash64("w").alias("h")).collect()
+    first = {x.w for x in hashed if (x.h + (1 << 63)) * 12 >> 64 == 0}
+    short, rest = sorted(w for w in first if len(w) == 2)[:3], sorted(w for w in words - first if len(w) == 6)
+    assert len(short) == 3
+    lines = [" ".join([*short, *r.choice(rest, 45, replace=False)]) for _ in range(20)] + [" ".join([*short, x * 160, y * 160]) for x, y in ("uv", "wx")]
+    keys = [{y for y in x["keys"] if y is not None} for x in line_dedup.with_simhash(spark.createDataFrame(list(enumerate(lines)), "k long, norm string")).select("k", line_dedup.block_keys().alias("keys")).orderBy("k").collect()]
+    assert not any(a & b for a, b in itertools.combinations(keys[:20], 2)) and keys[20] & keys[21]
+
+
+def test_line_counts_rule_out_no_link(spark):
+    r = np.random.default_rng(6)
+    lines = [*_families(r), *_unspaced(r), "e" * 900, "e" * 960]
+    df = spark.createDataFrame(list(enumerate(lines)), "k long, norm string").select("k", "norm", *line_dedup.counts(F.col("norm")))
+    a, b = (df.select([F.col(c).alias(f"{p}_{c}") for c in df.columns]) for p in "ab")
+    pairs = a.join(b, F.abs(F.col("a_k") - F.col("b_k")).between(1, 8))
+    got = pairs.select(line_dedup.similar(F.col("a_norm"), F.col("b_norm"), 0.9).alias("similar"), line_dedup.may_be_alike("a_", "b_", 0.9).alias("open")).collect()
+    assert all(x.open for x in got if x.similar) and sum(x.similar for x in got) > 100 and sum(not x.open for x in got) > 100
+
+
 def test_line_dedup_leaves_no_shuffle_behind(spark, docs):
     files = lambda: {f.getName() for f in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
     sc = spark.sparkContext
